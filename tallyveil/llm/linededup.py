@@ -58,9 +58,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str) -> DataFrame:
     """docs with a column `name`: the words of the bitmap as an array, null where nothing goes."""
     words = F.expr("transform(sequence(0, array_max(map_keys(dropped))), w -> coalesce(try_element_at(dropped, w), 0L))")
-    right = bitmaps.select(F.col("doc_id").alias("__r_id"), F.col("text_hash").alias("__r_hash"), words.alias(name))
-    on = F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.xxhash64(_text()) == F.col("__r_hash"))
-    return docs.join(right, on, "left").drop("__r_id", "__r_hash")
+    r_id, r_hash = private_name(docs, "r_id"), private_name(docs, "r_hash")
+    right = bitmaps.select(F.col("doc_id").alias(r_id), F.col("text_hash").alias(r_hash), words.alias(name))
+    on = F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.xxhash64(_text()) == F.col(r_hash))
+    return docs.join(right, on, "left").drop(r_id, r_hash)
 
 
 def _kept(words: str, i: Column) -> Column:

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyveil.llm.bpe import op4_bpe
 from tallyveil.llm.chat import op5_reply_trees
+from tallyveil.llm.jaccard import op10_jaccard_join
+from tallyveil.llm.licenses import op8_license_scan
 from tallyveil.llm.linededup import op3_line_dedup
+from tallyveil.llm.neighbours import op7_learned_partitions
 from tallyveil.llm.packing import op1_best_fit_packing
+from tallyveil.llm.pii import op9_pii
+from tallyveil.llm.quality import op6_decision_list
 from tallyveil.llm.sharding import op2_virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_reply_trees": op5_reply_trees,
+    "op6_decision_list": op6_decision_list,
+    "op7_learned_partitions": op7_learned_partitions,
+    "op8_license_scan": op8_license_scan,
+    "op9_pii": op9_pii,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
