@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from tallyveil.llm.shared import checkpointed, documents, private_name, stored
 
 WORDS = 5
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Sizes below SINGLE form one band whose segments are single shingles; above, bands grow by WIDEN.
 SINGLE, WIDEN = 64, 4
 #: A shingle is frequent if chunks of CHUNK shingles that hold it OFTEN times or more sum up to HOT; at most MOST_HOT are kept.
 #: Which shingles these are changes the cost and never the result.
-CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 4, 40, 200_000
+CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
 PIVOTS = 64
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
 BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
@@ -63,7 +63,7 @@ class Shingler:
 
     def _grow(self, size: int) -> None:
         if len(self.power) <= size:
-            steps = np.full(max(size + 1, 1 << 21), _BASE, np.uint64)
+            steps = np.full(max(size + 1, 1 << 20), _BASE, np.uint64)
             steps[0] = 1
             self.power = np.cumprod(steps)
             steps[1:] = _U(pow(int(_BASE), -1, 1 << 64))
@@ -304,13 +304,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Tests pairs of set hashes; sets are rebuilt from the texts of the candidates alone."""
-
-    def __init__(self, docs: DataFrame, holders: DataFrame, n: int):
-        """holders: (row, set_hash) of one document for each set that is in a group."""
-        few = holders.count() <= BROADCAST_ROWS
+    """Tests pairs of set hashes. Sizes and histograms are kept for every candidate set; whole sets are rebuilt from the
+    texts of those alone that a histogram leaves in question."""
+
+    def __init__(self, docs: DataFrame, holders: DataFrame, n: int, distinct: bool):
+        """holders: (row, set_hash) of one document for each set that is in a group. distinct: no row of docs repeats."""
+        self.docs, self.holders, self.n, self.distinct = docs, holders, n, distinct
+        schema = "set_hash long, size long, histogram binary"
+        self.sketches = stored(self._sets(holders, schema, lambda s: (len(s), histogram(s))), "sketches")
+
+    def _sets(self, holders: DataFrame, schema: str, values) -> DataFrame:
+        """set_hash and values(set) of each of the holders' sets, once."""
+        n, names = self.n, [x.split()[0] for x in schema.split(", ")]
         side = holders.select(F.col("row").alias("h_row"), F.col("set_hash").alias("h_set"))
-        text = docs.join(F.broadcast(side) if few else side, F.col("row") == F.col("h_row")).select("h_set", "text")
+        few = holders.count() <= BROADCAST_ROWS
+        text = self.docs.join(F.broadcast(side) if few else side, F.col("row") == F.col("h_row")).select("h_set", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Shingler(n), set()
@@ -318,17 +326,16 @@ class Verifier:
                 for a, b, texts in _batches(batch.column(1)):
                     new = {h: s for h, s in zip(batch.column(0)[a:b].to_pylist(), own.sets(texts), strict=True) if h not in seen}
                     seen.update(new)
-                    sets = list(new.values())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([histogram(s) for s in sets], pa.binary())], ["set_hash", "size", "elements", "histogram"])
+                    rows = [(h, *values(s)) for h, s in new.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64()) for _ in names], names)
 
-        self.sets = stored(text.mapInArrow(run, "set_hash long, size long, elements binary, histogram binary"), "candidate_sets")
-        n_rows, n_sets = self.sets.agg(F.count("*"), F.count_distinct("set_hash")).first()
-        if n_rows > n_sets:  # repeated rows
-            self.sets = stored(self.sets.dropDuplicates(["set_hash"]), "distinct_candidate_sets")
+        out = text.mapInArrow(run, schema)
+        return out if self.distinct else out.dropDuplicates(["set_hash"])
 
-    def _both(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    @staticmethod
+    def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("a", "b"):
-            other = self.sets.select(F.col("set_hash").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            other = sets.select(F.col("set_hash").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
             pairs = pairs.join(other, side)
         return pairs
 
@@ -345,19 +352,23 @@ class Verifier:
                 of = lambda c: (np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(c))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array([links(s, t) for s, t in zip(of("elements_a"), of("elements_b"), strict=True)], pa.bool_()))
 
-        sized = self._both(pairs, ["size", "histogram"]).where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-        hope = checkpointed(sized.mapInArrow(hopeful, "a long, b long"))
-        return self._both(hope, ["elements"]).mapInArrow(exact, "a long, b long")
+        near = self._both(pairs, self.sketches.select("set_hash", "size"), ["size"]).where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+        hope = checkpointed(self._both(near, self.sketches.select("set_hash", "histogram"), ["histogram"]).mapInArrow(hopeful, "a long, b long"))
+        wanted = hope.select(F.col("a").alias("set_hash")).unionByName(hope.select(F.col("b").alias("set_hash"))).distinct()
+        own = checkpointed(self.holders.join(wanted, "set_hash", "left_semi"))
+        elements = stored(self._sets(own, "set_hash long, elements binary", lambda s: (s.tobytes(),)), "elements")
+        return self._both(hope, elements, ["elements"]).mapInArrow(exact, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS) -> DataFrame:
     """(node, component) over the set hashes that link with another."""
     sets = summary.where("row is not null and n_shingles > 0")
-    n_shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    n_shingles, n_rows, n_own = sets.agg(F.sum("n_shingles"), F.count("*"), F.count_distinct("row")).first()
+    n_shingles = n_shingles or 0
     groups = stored(candidate_groups(docs, frequent_shingles(summary), n_shingles, n), "groups")
     wanted = groups.select(F.explode("members").alias("set_hash")).distinct()
     holders = sets.groupBy("set_hash").agg(F.min("row").alias("row")).join(wanted, "set_hash")
-    test = Verifier(docs, checkpointed(holders), n)
+    test = Verifier(docs, checkpointed(holders), n, n_rows == n_own)
     # the first pivot of each group is its first member
     members = groups.where(F.size("members") > 2).select("group", F.explode("members").alias("set"))
     members = checkpointed(members)

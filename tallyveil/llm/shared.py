@@ -38,9 +38,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A step of a loop as a written table. checkpoint() would keep the size estimate of the plan it cuts: each self-join
+    multiplies it, until the estimate itself is a number of hundreds of MB on the driver."""
+    return stored(df, "step")
 
 
 def ascii_lower(s: Column) -> Column:
