@@ -38,7 +38,8 @@ SINGLE, WIDEN = 64, 4
 #: A shingle is frequent if chunks of CHUNK shingles that hold it OFTEN times or more sum up to HOT; at most MOST_HOT are kept.
 #: Which shingles these are changes the cost and never the result.
 CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
-PIVOTS = 64
+#: Pivots a group gets at once if it is no larger than SMALL; larger ones start with FIRST and get twice as many each round.
+SMALL, FIRST, PIVOTS = 16, 2, 64
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
 BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
 
@@ -371,27 +372,27 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS) -> DataFram
     test = Verifier(docs, checkpointed(holders), n, n_rows == n_own)
     # the first pivot of each group is its first member
     members = groups.where(F.size("members") > 2).select("group", F.explode("members").alias("set"))
-    members = checkpointed(members)
+    members = checkpointed(members.join(test.sketches.select(F.col("set_hash").alias("set"), "size"), "set"))
     used = groups.where(F.size("members") > 2).select("group", F.col("members")[0].alias("set"))
     pairs = checkpointed(groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 2_147_483_647)).alias("b")).distinct())
-    tested, edges = pairs, checkpointed(test.linked(pairs))
+    tested, edges, at_once = pairs, checkpointed(test.linked(pairs)), FIRST
     while True:
         labels = components(edges)
-        told = members.join(labels, members["set"] == labels["node"], "left").select("group", "set", F.coalesce("component", "set").alias("component"))
+        told = members.join(labels, members["set"] == labels["node"], "left").select("group", "set", "size", F.coalesce("component", "set").alias("component"))
         parts = told.groupBy("group", "component").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("group", "largest")
+        open_ = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("parts > 1").select("group", "largest", "members")
         told = checkpointed(told.join(open_, "group"))
         rest = told.where("component <> largest").join(used, ["group", "set"], "left_anti")
         order = Window.partitionBy("group").orderBy("set")
-        pivots = checkpointed(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("group", F.col("set").alias("pivot"), F.col("component").alias("own")))
+        pivots = checkpointed(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("members") <= SMALL, PIVOTS).otherwise(min(PIVOTS, at_once))).select("group", F.col("set").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("own_size")))
         if not pivots.limit(1).count():
             return labels
-        both = pivots.join(told.select("group", "set", "component"), "group").where("own <> component")
+        both = pivots.join(told.select("group", "set", "component", "size"), "group").where("own <> component and 4 * least(size, own_size) >= 3 * greatest(size, own_size)")
         pairs = both.select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested, used = tested.unionByName(pairs), used.unionByName(pivots.select("group", F.col("pivot").alias("set")))
         edges = checkpointed(edges.unionByName(test.linked(pairs)))
-        members = told.select("group", "set")
+        members, at_once = told.select("group", "set", "size"), 2 * at_once
 
 
 def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:
