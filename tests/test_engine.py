@@ -122,7 +122,7 @@ def test_strategies():
     quad = strategy.quad_tree((5, 3)).numpy()
     assert quad[0].sum() == 15
     assert np.linalg.matrix_rank(quad) == 15
-    assert len(set(strategy.cluster_sorted(np.array([0, 100, 1, 99.0, 0]), 5.0)[[0, 2, 4]])) == 1
+    assert len(set(strategy.cluster_sorted(np.array([0, 100, 1, 99.0, 0]), 0.5)[[0, 2, 4]])) == 1
     assert strategy.interval_partition(np.array([5, 5, 5, 5, 90, 90, 90, 90.0]), 1000, seed=0).tolist() == [0] * 4 + [1] * 4
 
 
