@@ -65,15 +65,17 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     state = checkpointed(step.select("conv", "node", F.col("p_node").alias("up"), F.lit(1).alias("depth"), "chars", "score"))
     leaves = state.join(state.select("conv", F.col("up").alias("node")).where("node is not null"), ["conv", "node"], "left_anti").select("conv", "node")
     jumps = []
-    open_, rounds = state.where("up is not null").count(), 2 + math.ceil(math.log2(max(2, turns.count())))
-    while open_ and len(jumps) < rounds:
-        jumps.append(state.select("conv", F.col("node").alias("from"), "up").where("up is not null"))
-        further = state.select(F.col("conv").alias("u_conv"), F.col("node").alias("u_node"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"), F.col("chars").alias("u_chars"), F.col("score").alias("u_score"))
-        both = state.join(further, (F.col("conv") == F.col("u_conv")) & (F.col("up") == F.col("u_node")), "left")
-        more = lambda c: (F.col(c) + F.coalesce(F.col(f"u_{c}"), F.lit(0))).alias(c)
-        state = checkpointed(both.select("conv", "node", F.col("u_up").alias("up"), more("depth"), more("chars"), more("score")))
-        open_ = state.where("up is not null").count()
-    whole = state.where("up is null").select("conv", "node", "depth", F.col("chars").alias("end"), F.col("score").alias("sum"))
+    # only nodes whose pointer is still open are joined again, so one deep conversation is no work for the others
+    going, done = state.where("up is not null"), state.where("up is null")
+    rounds = 2 + math.ceil(math.log2(max(2, turns.count())))
+    while len(jumps) < rounds and going.limit(1).count():
+        jumps.append(going.select("conv", F.col("node").alias("from"), "up"))
+        further = going.unionByName(done).select(F.col("conv").alias("u_conv"), F.col("node").alias("u_node"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"), F.col("chars").alias("u_chars"), F.col("score").alias("u_score"))
+        both = going.join(further, (F.col("conv") == F.col("u_conv")) & (F.col("up") == F.col("u_node")))
+        more = lambda c: (F.col(c) + F.col(f"u_{c}")).alias(c)
+        moved = checkpointed(both.select("conv", "node", F.col("u_up").alias("up"), more("depth"), more("chars"), more("score")))
+        going, done = moved.where("up is not null"), done.unionByName(moved.where("up is null"))
+    whole = done.select("conv", "node", "depth", F.col("chars").alias("end"), F.col("score").alias("sum"))
     best = Window.partitionBy("conv").orderBy(F.col("sum").desc(), "node")
     chosen = leaves.join(whole, ["conv", "node"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     paths = chosen.select("conv", F.col("node").alias("path"), "rank", "sum", "node")

@@ -28,6 +28,8 @@ SAMPLE = 12_000
 NEIGHBOURS = 20
 #: Rows a part aims at, and the most parts.
 PART_ROWS, MAX_PARTS = 600, 64
+#: The fewest bisections tried, and the rows that merging one part's answers counts as, when the number of parts is chosen.
+FEWEST_LEVELS, MERGE_COST = 4, 1000
 #: The recall that the number of visited parts is chosen for, on sample vectors that the model has not seen.
 TARGET_RECALL, HELD_OUT = 0.95, 1000
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
@@ -121,27 +123,36 @@ def fit(vectors: DataFrame, n_rows: int, sample: int = SAMPLE) -> Router | None:
         return None
     dim = Counter(len(r["embedding"]) for r in rows).most_common(1)[0][0]
     x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == dim])
-    n_parts = min(MAX_PARTS, max(1, n_rows // PART_ROWS), max(1, len(x) // 16))
     held = x[: min(HELD_OUT, len(x) // 10)]
     x = x[len(held) :]
     near = neighbour_graph(x)
-    part = balanced_parts(near, int(np.log2(n_parts)))
-    router = Router.fit(x, part, near)
-    return Router(router.weights, router.bias, visits(router, held, x))
-
-
-def visits(router: Router, queries: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS) -> int:
-    """The fewest parts to visit for TARGET_RECALL of the queries' true neighbours in x; all parts without queries."""
+    most = min(MAX_PARTS, max(1, n_rows // PART_ROWS), max(1, len(x) // 16)).bit_length() - 1
+    best, least = None, np.inf
+    for depth in range(min(FEWEST_LEVELS, most), most + 1):
+        part = balanced_parts(near, depth)
+        router = Router.fit(x, part, near)
+        n, share = visits(router, held, x)
+        # rows scored for a query, and the cost of merging what each visited part returns
+        if (cost := share * n_rows + MERGE_COST * n) < least:
+            best, least = Router(router.weights, router.bias, n), cost
+    return best
+
+
+def visits(router: Router, queries: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS) -> tuple[int, float]:
+    """The fewest parts to visit for TARGET_RECALL of the queries' true neighbours in x, and the share of x that they
+    hold; all parts without queries."""
     n_parts = len(router.bias)
     if not len(queries):
-        return n_parts
+        return n_parts, 1.0
     own = router.ranked(x, 1)[:, 0]
     k = min(k, len(x))
     true = np.concatenate([np.argpartition(-(q @ x.T), k - 1, axis=1)[:, :k] for q in np.array_split(queries, -(-len(queries) // 256))])
-    rank = np.argsort(router.ranked(queries, n_parts), axis=1)
+    ranked = router.ranked(queries, n_parts)
+    rank = np.argsort(ranked, axis=1)
     at = np.take_along_axis(rank, own[true], axis=1).reshape(-1)
     found = np.cumsum(np.bincount(at, minlength=n_parts)) / len(at)
-    return int(np.searchsorted(found, TARGET_RECALL)) + 1
+    n = int(np.searchsorted(found, TARGET_RECALL)) + 1
+    return n, float((np.bincount(own, minlength=n_parts) / len(x))[ranked[:, :n]].sum(1).mean())
 
 
 def _routed(vectors: DataFrame, router: Router, most: int) -> DataFrame:
