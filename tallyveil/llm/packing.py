@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -95,14 +96,16 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int = FILLING
     floor = sizes[-1]
     found: list[tuple[Pattern, int]] = []
     steps = 40 * limit
+    sizes_up = sizes[::-1]
+    on_hand = sum(1 << s for s, n in counts.items() if n)  # bit s: some item of size s
 
     def dominated(items: list[int], slack: int) -> bool:
-        used = Counter(items)
-        free = lambda x: counts.get(x, 0) > used[x]
+        free, more, as_much = on_hand, (1 << slack) - 1, (2 << slack) - 1
+        for s, k in Counter(items).items():
+            if counts[s] == k:
+                free &= ~(1 << s)
         for i, a in enumerate(items):
-            if any(free(x) for x in range(a + 1, a + slack + 1)):
-                return True
-            if any(free(x) for b in items[i + 1 :] for x in range(a + b, a + b + slack + 1)):
+            if free >> (a + 1) & more or any(free >> (a + b) & as_much for b in items[i + 1 :]):
                 return True
         return False
 
@@ -112,9 +115,9 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int = FILLING
         if steps < 0 or len(found) >= 4 * limit:
             return
         fits = False
-        for k in range(at, len(sizes)):
+        for k in range(max(at, len(sizes) - bisect_right(sizes_up, left)), len(sizes)):
             s = sizes[k]
-            if s > left or items.count(s) >= counts[s]:
+            if items.count(s) >= counts[s]:
                 continue
             fits = True
             extend(k, left - s, [*items, s])
