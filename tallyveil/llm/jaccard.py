@@ -7,10 +7,13 @@ largest difference, so each set indexes that many subsets, in its own band and,
 the band below. Allocation by cost: shingles that are frequent in the corpus form segments of their own at the end of the
 order, which only sets made up mostly of such shingles reach.
 
-Sets that meet under a subset are candidates. They are compared with pivots first; whoever turns out linked needs no
-further comparison, and the rest of each group become pivots in turn, until no untested pair of different components is
-left. So a group of near copies costs about its size and no link that joins components is lost. Pairs are pruned exactly
-by a bound on their overlap from small histograms, then verified on whole sets of 64-bit shingle hashes.
+Sets that meet under a subset are candidates. Lists of such sets with the same first member merge into one star around
+it. Members are compared with the centre first; whoever turns out linked needs no further comparison, and the rest of each
+star become pivots in turn, until no untested pair of different components is left. So a star of near copies costs about
+its size and no link that joins components is lost. Large stars are compared in blocks of bounded size, of which only pairs
+leave whose parity bitmaps differ in few enough bits. Pairs are then pruned exactly by a bound on their overlap from
+histograms and verified on whole sets of 64-bit shingle hashes. Copies that are candidates of each other without any
+link cost a comparison of bitmaps each.
 
 Equal sets collapse into one representative before all this, by a 64-bit hash of the set.
 
@@ -38,8 +41,10 @@ SINGLE, WIDEN = 64, 4
 #: A shingle is frequent if chunks of CHUNK shingles that hold it OFTEN times or more sum up to HOT; at most MOST_HOT are kept.
 #: Which shingles these are changes the cost and never the result.
 CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
-#: Pivots a group gets at once if it is no larger than SMALL; larger ones start with FIRST and get twice as many each round.
-SMALL, FIRST, PIVOTS = 16, 2, 64
+#: Pivots a star gets in the first round after its centre, and how that grows. Stars no larger than SMALL get all at once.
+SMALL, FIRST, FASTER = 16, 4, 16
+#: Members and pivots of a larger star that one task compares at a time, and the log2 of a bitmap's bits.
+MEMBER_BLOCK, PIVOT_BLOCK, BITMAP = 2048, 512, 11
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
 BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
 
@@ -115,12 +120,13 @@ def band_top(b: int) -> int:
 
 
 def needed(n: int) -> list[tuple[int, int]]:
-    """(band, segments to index): one more than the largest difference from a partner there."""
+    """(band, segments to index): one more than the largest difference from a partner there. Where segments are single
+    shingles, one more than the set's own part of it, a quarter of the set, is enough."""
     b = band(n)
     out = [(b, (n + min(4 * n // 3, band_top(b) - 1)) // 7 + 1)]
     if b and -(-3 * n // 4) < band_top(b - 1):
         out.append((b - 1, (n + band_top(b - 1) - 1) // 7 + 1))
-    return out
+    return [(c, need if c else min(need, n // 4 + 1)) for c, need in out]
 
 
 def subsets(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -148,6 +154,26 @@ def histogram(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parities of a set's elements over 2 ** BITMAP buckets. Bitmaps differ in no more bits than the sets in elements."""
+    return np.packbits((np.bincount((s >> _U(64 - BITMAP)).astype(np.int64), minlength=1 << BITMAP) & 1).astype(np.uint8)).tobytes()
+
+
+def _near_pivots(pivots: pa.Table, members: pa.Table) -> pa.Table:
+    """Of one block: the pairs of different components that sizes and bitmaps allow to link."""
+    of = lambda t, *names: (t.column(c).to_numpy() for c in names)
+    bits = lambda t: np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    value, component, size = of(members, "set", "component", "size")
+    own_bits, all_bits, left, right = bits(pivots), bits(members), [], []
+    for k, (pivot, own, n) in enumerate(zip(*of(pivots, "pivot", "own", "own_size"), strict=True)):
+        at = np.flatnonzero((component != own) & (4 * np.minimum(size, n) >= 3 * np.maximum(size, n)))
+        found = value[at[7 * np.bitwise_count(all_bits[at] ^ own_bits[k]).sum(1, dtype=np.int64) <= size[at] + n]]
+        left.append(np.minimum(found, pivot))
+        right.append(np.maximum(found, pivot))
+    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+
 def may_link(n: int, m: int, h: bytes, g: bytes) -> bool:
     """Whether sizes and histograms allow a similarity of 3/4. A full bucket counts as unbounded."""
     if 4 * min(n, m) < 3 * max(n, m):
@@ -311,15 +337,15 @@ class Verifier:
     def __init__(self, docs: DataFrame, holders: DataFrame, n: int, distinct: bool):
         """holders: (row, set_hash) of one document for each set that is in a group. distinct: no row of docs repeats."""
         self.docs, self.holders, self.n, self.distinct = docs, holders, n, distinct
-        schema = "set_hash long, size long, histogram binary"
-        self.sketches = stored(self._sets(holders, schema, lambda s: (len(s), histogram(s))), "sketches")
+        schema = "set_hash long, size long, histogram binary, bitmap binary"
+        self.sketches = stored(self._sets(holders, holders.count(), schema, lambda s: (len(s), histogram(s), bitmap(s))), "sketches")
+        self.elements = docs.sparkSession.createDataFrame([], "set_hash long, elements binary")
 
-    def _sets(self, holders: DataFrame, schema: str, values) -> DataFrame:
+    def _sets(self, holders: DataFrame, n_holders: int, schema: str, values) -> DataFrame:
         """set_hash and values(set) of each of the holders' sets, once."""
         n, names = self.n, [x.split()[0] for x in schema.split(", ")]
         side = holders.select(F.col("row").alias("h_row"), F.col("set_hash").alias("h_set"))
-        few = holders.count() <= BROADCAST_ROWS
-        text = self.docs.join(F.broadcast(side) if few else side, F.col("row") == F.col("h_row")).select("h_set", "text")
+        text = self.docs.join(F.broadcast(side) if n_holders <= BROADCAST_ROWS else side, F.col("row") == F.col("h_row")).select("h_set", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Shingler(n), set()
@@ -340,8 +366,9 @@ class Verifier:
             pairs = pairs.join(other, side)
         return pairs
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) that link."""
+    def linked(self, pairs: DataFrame, sized: bool = False) -> DataFrame:
+        """The distinct pairs (a, b) that link. sized: the pairs' sizes allow it already. A set is read from the texts
+        once, when a histogram first leaves it in question; a call that needs no new set reads no text."""
 
         def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
@@ -353,11 +380,15 @@ class Verifier:
                 of = lambda c: (np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(c))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array([links(s, t) for s, t in zip(of("elements_a"), of("elements_b"), strict=True)], pa.bool_()))
 
-        near = self._both(pairs, self.sketches.select("set_hash", "size"), ["size"]).where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-        hope = checkpointed(self._both(near, self.sketches.select("set_hash", "histogram"), ["histogram"]).mapInArrow(hopeful, "a long, b long"))
-        wanted = hope.select(F.col("a").alias("set_hash")).unionByName(hope.select(F.col("b").alias("set_hash"))).distinct()
-        own = checkpointed(self.holders.join(wanted, "set_hash", "left_semi"))
-        elements = stored(self._sets(own, "set_hash long, elements binary", lambda s: (s.tobytes(),)), "elements")
+        if not sized:
+            pairs = self._both(pairs, self.sketches.select("set_hash", "size"), ["size"]).where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+            pairs = pairs.select("a", "b")
+        hope = checkpointed(self._both(pairs, self.sketches.select("set_hash", "size", "histogram"), ["size", "histogram"]).mapInArrow(hopeful, "a long, b long"))
+        wanted = hope.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+        own = checkpointed(self.holders.join(wanted, "set_hash", "left_semi").join(self.elements, "set_hash", "left_anti"))
+        if n_own := own.count():
+            self.elements = self.elements.unionByName(stored(self._sets(own, n_own, "set_hash long, elements binary", lambda s: (s.tobytes(),)), "elements"))
+        elements = self.elements
         return self._both(hope, elements, ["elements"]).mapInArrow(exact, "a long, b long")
 
 
@@ -370,29 +401,55 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS) -> DataFram
     wanted = groups.select(F.explode("members").alias("set_hash")).distinct()
     holders = sets.groupBy("set_hash").agg(F.min("row").alias("row")).join(wanted, "set_hash")
     test = Verifier(docs, checkpointed(holders), n, n_rows == n_own)
-    # the first pivot of each group is its first member
-    members = groups.where(F.size("members") > 2).select("group", F.explode("members").alias("set"))
-    members = checkpointed(members.join(test.sketches.select(F.col("set_hash").alias("set"), "size"), "set"))
-    used = groups.where(F.size("members") > 2).select("group", F.col("members")[0].alias("set"))
+    # a star's centre is the first member of its lists, and its first pivot
     pairs = checkpointed(groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 2_147_483_647)).alias("b")).distinct())
+    centres = pairs.groupBy(F.col("a").alias("star")).count().where("count > 1").select("star")
+    members = pairs.join(centres, F.col("a") == F.col("star"), "left_semi").select(F.col("a").alias("star"), F.col("b").alias("set"))
+    members = members.unionByName(centres.select("star", F.col("star").alias("set")))
+    members = checkpointed(members.join(test.sketches.select(F.col("set_hash").alias("set"), "size"), "set"))
+    used = centres.select("star", F.col("star").alias("set"))
     tested, edges, at_once = pairs, checkpointed(test.linked(pairs)), FIRST
+    labels = components(edges)
     while True:
-        labels = components(edges)
-        told = members.join(labels, members["set"] == labels["node"], "left").select("group", "set", "size", F.coalesce("component", "set").alias("component"))
-        parts = told.groupBy("group", "component").agg(F.count("*").alias("n"))
-        open_ = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("parts > 1").select("group", "largest", "members")
-        told = checkpointed(told.join(open_, "group"))
-        rest = told.where("component <> largest").join(used, ["group", "set"], "left_anti")
-        order = Window.partitionBy("group").orderBy("set")
-        pivots = checkpointed(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("members") <= SMALL, PIVOTS).otherwise(min(PIVOTS, at_once))).select("group", F.col("set").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("own_size")))
+        told = members.join(labels, members["set"] == labels["node"], "left").select("star", "set", "size", F.coalesce("component", "set").alias("component"))
+        parts = told.groupBy("star", "component").agg(F.count("*").alias("n"))
+        open_ = parts.groupBy("star").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("parts > 1").select("star", "largest", "members")
+        told = checkpointed(told.join(open_, "star"))
+        rest = told.where("component <> largest").join(used, ["star", "set"], "left_anti")
+        rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("star").orderBy("set"))).where(F.col("k") <= max(SMALL, at_once))
+        rest = rest.where((F.col("members") <= SMALL) | (F.col("k") <= at_once))
+        pivots = checkpointed(rest.select("star", F.col("set").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("own_size"), "members", "k"))
         if not pivots.limit(1).count():
             return labels
-        both = pivots.join(told.select("group", "set", "component", "size"), "group").where("own <> component and 4 * least(size, own_size) >= 3 * greatest(size, own_size)")
-        pairs = both.select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct()
+        pairs = _in_small_stars(pivots, told).unionByName(_in_large_stars(pivots, told, test.sketches)).distinct()
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested, used = tested.unionByName(pairs), used.unionByName(pivots.select("group", F.col("pivot").alias("set")))
-        edges = checkpointed(edges.unionByName(test.linked(pairs)))
-        members, at_once = told.select("group", "set", "size"), 2 * at_once
+        tested, used = tested.unionByName(pairs), used.unionByName(pivots.select("star", F.col("pivot").alias("set")))
+        new = checkpointed(test.linked(pairs, sized=True))
+        if new.limit(1).count():
+            edges = edges.unionByName(new)
+            labels = components(edges)
+        members, at_once = told.select("star", "set", "size"), FASTER * at_once
+
+
+def _in_small_stars(pivots: DataFrame, told: DataFrame) -> DataFrame:
+    """(a, b): each pivot with the members of other components whose sizes allow a link."""
+    own = pivots.where(F.col("members") <= SMALL).drop("members")
+    both = own.join(told.where(F.col("members") <= SMALL), "star").where("own <> component and 4 * least(size, own_size) >= 3 * greatest(size, own_size)")
+    return both.select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b"))
+
+
+def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) as above, in blocks of members by blocks of pivots, where the bitmaps allow a link too."""
+    of_own, of_other = (sketches.select(F.col("set_hash").alias("bits_of"), F.col("bitmap").alias("bitmap")) for _ in range(2))
+    keys, large = ["star", "pivot_block", "block"], F.col("members") > SMALL
+    n_blocks = F.ceil(F.col("members") / MEMBER_BLOCK).cast("int")
+    own = pivots.where(large).withColumn("pivot_block", F.expr(f"cast((k - 1) div {PIVOT_BLOCK} as int)"))
+    n_pivots = own.groupBy("star").agg((F.max("pivot_block") + 1).alias("pivot_blocks"))
+    own = own.join(of_own, F.col("pivot") == F.col("bits_of")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    others = told.where(large).join(n_pivots, "star").join(of_other, F.col("set") == F.col("bits_of")).withColumn("block", F.pmod(F.xxhash64("set").cast("long"), n_blocks).cast("int"))
+    others = others.withColumn("pivot_block", F.explode(F.sequence(F.lit(0), F.col("pivot_blocks") - 1)))
+    own = own.select(*keys, "pivot", "own", "own_size", "bitmap").groupBy(*keys)
+    return own.cogroup(others.select(*keys, "set", "component", "size", "bitmap").groupBy(*keys)).applyInArrow(_near_pivots, "a long, b long")
 
 
 def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:

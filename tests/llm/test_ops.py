@@ -266,6 +266,24 @@ def test_jaccard_join(spark, edge_docs, no_docs):
     assert jaccard.join_documents(jaccard.with_rows(no_docs)).count() == 0
 
 
+def test_jaccard_join_of_large_stars(spark, monkeypatch):
+    """Copies of one text at similarities around the threshold: few link with the centre, and blocks are small."""
+    monkeypatch.setattr(jaccard, "MEMBER_BLOCK", 20)
+    monkeypatch.setattr(jaccard, "PIVOT_BLOCK", 3)
+    rng, rows = random.Random(7), []
+    words = [f"w{k}" for k in range(150)]
+    for k in range(120):
+        w = list(words)
+        for at in rng.sample(range(150), rng.randint(0, 8)):
+            w[at] = f"n{rng.randint(0, 9999)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join_documents(jaccard.with_rows(docs)).collect()
+    by_hand = classes_by_hand(rows)
+    assert len({c for _, _, c in by_hand}) > 1
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_hand
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]
