@@ -2,7 +2,8 @@
 
 Base identifiers are found in the text as it is. Then transducers rewrite disguises (homoglyphs and invisible characters,
 "[at]" and "dot" in words, spelled digits), each keeping for every output character the source span that it stands for;
-identifiers found in the rewritten text are mapped back to source characters and added where they overlap no base span.
+identifiers found in the rewritten text are mapped back to source characters and added unless a base span of their kind
+holds them whole: a base span is often only the undisguised part of an address.
 
 Scanning is linear in the text: each identifier is tried only where a run of its characters begins.
 
@@ -138,7 +139,7 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that show only after rewriting, in source characters; none overlaps a base span."""
+    """Spans that show only after rewriting, in source characters; none lies within a base span of its kind."""
     low = text.lower()
     tape, changed = Tape(text), False
     worded = "dot" in low or "@" in text or any(b + "at" in low or b + " at" in low for b in "[({<")
@@ -149,13 +150,13 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
             tape, changed = tape.rewritten(edits), True
     if not changed:
         return []
-    # both lists are in order of start, so one sweep finds the overlaps
-    found, k, out, reach = [(kind, tape.start[a], tape.end[b - 1]) for kind, a, b in find(tape.text)], 0, [], 0
-    for kind, a, b in sorted(found, key=lambda s: s[1]):
-        while k < len(base) and base[k][1] < b:
-            reach = max(reach, base[k][2])
-            k += 1
-        if reach <= a:
+    # base spans of one kind are disjoint and in order of start, as those found are: one sweep finds the containing ones
+    held, at, out = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}, dict.fromkeys(KINDS, 0), []
+    for kind, a, b in find(tape.text):
+        own, a, b = held[kind], tape.start[a], tape.end[b - 1]
+        while at[kind] < len(own) and own[at[kind]][0] <= a:
+            at[kind] += 1
+        if not at[kind] or own[at[kind] - 1][1] < b:
             out.append((kind, a, b))
     return out
 

@@ -218,6 +218,17 @@ def test_pii_sees_through_disguises(text, span):
     assert [text[a:b] for _, a, b in every] == ([span] if span else [])
 
 
+@pytest.mark.parametrize(("address", "part"), [("j\u0430ne.doe@example.com", "ne.doe@example.com"), ("jane@mail.ex\u0430mple.com", "jane@mail.ex"), ("jane.d\u200boe@example.com", "oe@example.com"), ("jane@exam.pl\u200be.com", "jane@exam.pl"), ("+44 20 7946 0958\u0664", "+44 20 7946 0958")])
+def test_pii_adds_the_whole_of_a_partly_disguised_span(address, part):
+    """The base span is a part of it and stays; the added one is whole."""
+    base, every = pii.spans(f"or {address}, and a.b@c.org")
+    assert [f"or {address}, and a.b@c.org"[a:b] for _, a, b in base] == [part, "a.b@c.org"]
+    assert sorted(f"or {address}, and a.b@c.org"[a:b] for _, a, b in every) == sorted([address, part, "a.b@c.org"])
+    assert set(base) < set(every)
+    kind = "[EMAIL]" if "@" in address else "[PHONE]"
+    assert pii.redact(f"or {address}, and a.b@c.org", every) == f"or {kind}, and [EMAIL]"
+
+
 def test_pii_documents(edge_docs, no_docs):
     assert pii.redact_documents(no_docs).count() == 0
     out = pii.redact_documents(edge_docs)
