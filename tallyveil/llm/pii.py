@@ -43,11 +43,19 @@ _LOOKALIKE = {
 _STRANGE = re.compile("[" + "".join(map(re.escape, _LOOKALIKE)) + "٠-٩۰-۹！-～﹫﹒\U0001d7ce-\U0001d7ff]")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(_DIGIT_WORDS)
-_BRACKET = re.compile(r"[ \t]*(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>)[ \t]*", re.I)
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( +at +)[A-Za-z0-9-]{1,63}(?:(?: +dot +|\.)[A-Za-z0-9-]{1,63})*(?: +dot +)[A-Za-z0-9-]{1,63}(?![A-Za-z0-9-])", re.I)
+_BRACKET = re.compile(r"(?:(?<![ \t])[ \t]++)?(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>)[ \t]*", re.I)
+_IN_BRACKETS = r"[ \t]*(?:\[[ ]?{0}[ ]?\]|\([ ]?{0}[ ]?\)|\{{[ ]?{0}[ ]?\}}|<[ ]?{0}[ ]?>)[ \t]*".format
+_DISGUISED_DOT = rf" +dot +|{_IN_BRACKETS('dot')}"
+#: An address in any mix of plain, bracketed and worded marks. A local part has at most 64 characters, thus 32 labels.
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:{_DISGUISED_DOT})[A-Za-z0-9._%+-]++){{0,31}}(?:(?P<at> +at +|[ ]*@[ ]*)|{_IN_BRACKETS('at')})[A-Za-z0-9-]++(?:(?:\.|{_DISGUISED_DOT})[A-Za-z0-9-]++)+", re.I)
+_DOT = re.compile(rf"(?<! ) +dot +|{_IN_BRACKETS('dot')}", re.I)
+#: A worded dot before a number, and what must stand before it.
+_NUMERIC_DOT = re.compile(rf"(?<![ ,-])[ ,-]++(?:dot|point)[ ]++(?=[0-9]|(?:{_WORD})(?![A-Za-z]))", re.I)
+_NUMERIC_END = re.compile(rf"(?:[0-9]|(?<![A-Za-z])(?:{_WORD}))\Z", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])( +@ *| *@ +)(?=[A-Za-z0-9-]+\.[A-Za-z])")
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ]+)?(?:{_WORD})(?:[ ,-]+(?:(?:dot|point)[ ]+)?(?:{_WORD})(?![A-Za-z])){{6,}}", re.I)
-_SPELLED_PART = re.compile(rf"plus[ ]+|[ ,-]+(?:dot|point)[ ]+|[ ,-]+|{_WORD}", re.I)
+#: Numbers and digit words in a row, and one part of such a run. A run may end before "@" only where it is long.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ]+)?(?:[0-9]++|(?:{_WORD})(?![A-Za-z]))(?:[ ,.()-]++(?:[0-9]++|(?:{_WORD})(?![A-Za-z])))+", re.I)
+_SPELLED_PART = re.compile(rf"plus[ ]+|[ ,.()-]+|[0-9]+|{_WORD}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -118,9 +126,12 @@ def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
 def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     mark = {"at": "@", "dot": "."}
     out = [(m.start(), m.end(), mark[next(g for g in m.groups() if g).lower()]) for m in _BRACKET.finditer(text)]
-    for m in _WORDED.finditer(text):
-        out.append((*m.span(1), "@"))
-        out += [(*d.span(), ".") for d in re.compile(r" +dot +", re.I).finditer(text, m.end(1), m.end())]
+    if "dot" in (low := text.lower()) or "point" in low:
+        for m in _ADDRESS.finditer(text):
+            dots = [(*d.span(), ".") for d in _DOT.finditer(text, *m.span())]
+            # "look at example.com" is prose: a worded or spaced at counts beside a disguised dot
+            out += [*dots, *([(*m.span("at"), "@")] if m["at"] and dots else [])]
+        out += [(*m.span(), ".") for m in _NUMERIC_DOT.finditer(text) if _NUMERIC_END.search(text[max(0, m.start() - 6) : m.start()])]
     out += [(*m.span(1), "@") for m in _SPACED.finditer(text)]
     kept: list[tuple[int, int, str]] = []
     for e in sorted(out):
@@ -130,11 +141,22 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Digit words as digits, in runs of four numbers or more: no identifier has fewer. Words that follow each other become one number."""
     out = []
     for m in _SPELLED.finditer(text):
-        for p in _SPELLED_PART.finditer(text, m.start(), m.end()):
-            word = p[0].lower().strip(" ,-")
-            out.append((p.start(), p.end(), _DIGIT_WORDS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word, "")))
+        parts = [(p.start(), p.end(), p[0].lower()) for p in _SPELLED_PART.finditer(text, *m.span())]
+        words = sum(p in _DIGIT_WORDS for _, _, p in parts)
+        if not words or words + len(_digits(m[0])) < 4 or (text[m.end() : m.end() + 1] == "@" and words < 7):
+            continue
+        for k, (a, b, p) in enumerate(parts):
+            if p in _DIGIT_WORDS:
+                out.append((a, b, _DIGIT_WORDS[p]))
+            elif p.startswith("plus"):
+                out.append((a, b, "+"))
+            elif not p.isdigit() and not set(p) & set(".()"):
+                sides = [parts[k + d][2] in _DIGIT_WORDS for d in (-1, 1)]
+                if any(sides):
+                    out.append((a, b, "" if all(sides) else " "))
     return out
 
 
@@ -143,7 +165,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     low = text.lower()
     tape, changed = Tape(text), False
     worded = "dot" in low or "@" in text or any(b + "at" in low or b + " at" in low for b in "[({<")
-    spelled = sum(low.count(w) for w in _DIGIT_WORDS) >= 7
+    spelled = any(w in low for w in _DIGIT_WORDS)
     strange = _STRANGE.search(text)
     for wanted, rule in ((strange, _homoglyphs), (worded or strange, _at_and_dot), (spelled or strange, _spelled_digits)):
         if wanted and (edits := rule(tape.text)):

@@ -229,6 +229,23 @@ def test_pii_adds_the_whole_of_a_partly_disguised_span(address, part):
     assert pii.redact(f"or {address}, and a.b@c.org", every) == f"or {kind}, and [EMAIL]"
 
 
+@pytest.mark.parametrize("text", ["jane [at] example dot com", "jane at example [dot] com", "jane@example dot com", "jane @ example dot com", "jane dot doe [at] sub.example dot com", "192 dot 168 dot 1 dot 20", "192.168 dot one.20", "eight dot eight dot eight dot eight", "+1 five five five 123 4567", "plus one (five five five) 123-4567", "four one one one 1111 1111 1111", "four one one one, 1111-one one one one 1111"])
+def test_pii_sees_through_mixed_disguises(text):
+    found = pii.spans(f"It was {text}, they said.")[1]
+    assert [f"It was {text}, they said."[a:b] for _, a, b in found] == [text]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "one or two at most. Three dot the hill, four", "plus one two three", "seven point five, eight point nine", "[at] dot (dot) at one"])
+def test_pii_leaves_prose_alone(text):
+    assert pii.spans(text) == ([], [])
+
+
+def test_pii_rewriting_is_linear():
+    """Runs of spaces are not tried from each of their characters."""
+    for text in (" " * 300000 + "dot", "a" + " " * 200000 + "dot" + " " * 200000 + "x", "one " * 50000, "a dot " * 50000):
+        assert pii.spans(text) == ([], [])
+
+
 def test_pii_documents(edge_docs, no_docs):
     assert pii.redact_documents(no_docs).count() == 0
     out = pii.redact_documents(edge_docs)
