@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -199,6 +200,26 @@ def test_licences_equal_brute_force(spark, edge_docs):
     assert licenses.matches(edge_docs).count() == 0
 
 
+def test_licences_in_passages(spark, edge_docs):
+    """Wrapped headers, notices within a line and changed notices; nothing twice, and of a notice and its part the notice."""
+    prose = " ".join(f"w{k} for a while" for k in range(400))
+    wrapped = lambda name: "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[name], 78))
+    full = [n for n, t in licenses.TEMPLATES.items() if len(t) > 200]
+    assert {"0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "ISC", "MIT"} <= set(full)
+    rows = [(n, f"/*\n * Copyright 2020 Some One\n{wrapped(n)}\n */\n{prose}\n{prose}") for n in full]
+    rows += [("inline", f"{prose} {licenses.TEMPLATES['MIT']} {prose}"), ("line", f"x\nReleased under the MIT License.\n{prose}")]
+    rows += [("two", f"{prose}\n{wrapped('MIT')}\n{prose}\n{wrapped('GPL-3.0')}\n{prose}"), ("cut", prose + "\n" + wrapped("MIT")[: int(len(wrapped("MIT")) * 0.75)] + "\n" + prose)]
+    rows += [("none", prose), ("few", f"{prose} any person obtaining a copy {prose}"), ("empty", ""), ("null", None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    want = Counter({(n, n): 1 for n in full}) + Counter([("inline", "MIT"), ("line", "MIT/short"), ("two", "MIT"), ("two", "GPL-3.0"), ("cut", "MIT")])
+    assert Counter((r["doc_id"], r["licence"]) for r in got) == want
+    by = {(r["doc_id"], r["licence"]): r for r in got}
+    assert {n: by[n, n]["dice"] for n in full} == dict.fromkeys(full, 1.0)
+    assert (by["MIT", "MIT"]["unit"], by["MIT", "MIT"]["last"]) == (2, 1 + len(textwrap.wrap(licenses.TEMPLATES["MIT"], 78)))
+    assert (by["inline", "MIT"]["unit"], by["inline", "MIT"]["last"]) == (0, 0)
+    assert licenses.scan(edge_docs).count() == 0
+
+
 def test_pii_base_equals_the_patterns():
     rng = random.Random(0)
     for _ in range(4000):
