@@ -452,13 +452,18 @@ def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame) ->
     return own.cogroup(others.select(*keys, "set", "component", "size", "bitmap").groupBy(*keys)).applyInArrow(_near_pivots, "a long, b long")
 
 
-def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) for each row of docs: the classes of the Jaccard join at 3/4."""
+def _named(docs: DataFrame, n: int) -> DataFrame:
+    """row, doc_id, n_shingles and set, which names the class of a set that is not empty."""
     rows = docs.select("doc_id", "text", "row")
     summary = stored(summaries(rows, n), "set_hashes")
     labels = linked_sets(rows.select("row", "text"), summary, n)
     sets = rows.select("row", "doc_id").join(summary.where("row is not null").dropDuplicates(["row"]), "row")
-    named = sets.join(labels, sets["set_hash"] == labels["node"], "left").withColumn("set", F.coalesce("component", "set_hash"))
+    return sets.join(labels, sets["set_hash"] == labels["node"], "left").withColumn("set", F.coalesce("component", "set_hash"))
+
+
+def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id) for each row of docs: the classes of the Jaccard join at 3/4."""
+    named = _named(docs, n)
     ids = named.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return named.join(ids, "set", "left").select("row", "doc_id", "n_shingles", own.alias("component_id"))
@@ -470,11 +475,17 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """docs with one row of each class: that of its smallest id; of equal rows, one. Rows with empty sets all stay."""
-    name = private_name(docs, "class")
-    found = join_documents(with_rows(docs), n)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(name)).distinct()
-    return docs.join(keep, F.xxhash64("doc_id", "text") == F.col(name), "left_semi")
+    """docs with one row of each class: of its smallest id, null being the largest, that of the least hash; of equal rows,
+    one. Rows with empty sets all stay."""
+    name, kept = private_name(docs, "row"), private_name(docs, "kept")
+    found = _named(with_rows(docs), n).where("n_shingles > 0")
+    # one id can be the smallest of several classes, so a class is known by its set
+    keep = found.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # equal rows are merged where they are read, before the join deals them out by their hash
+    rows = docs.where(worded).withColumn(name, F.xxhash64("doc_id", "text")).dropDuplicates([name])
+    rows = rows.join(keep.select(F.col("least.row").alias(kept)), F.col(name) == F.col(kept), "left_semi").drop(name)
+    return rows.unionByName(docs.where(~worded))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

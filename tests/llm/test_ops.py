@@ -333,6 +333,22 @@ def test_jaccard_join_of_large_stars(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_hand
 
 
+def test_one_of_each(spark, edge_docs, no_docs):
+    """Repeated rows, near copies under one id, one id in two classes, and classes without ids; empty sets all stay."""
+    text = lambda k, *new: " ".join([f"{k}w{i}" for i in range(60)] + list(new))
+    rows = [(1, text("a"))] * 30 + [(2, text("a", "x")), (5, text("b")), (5, text("b", "y")), (6, text("b", "z")), (5, text("c")), (7, text("c", "x"))]
+    rows += [(None, text("d")), (None, text("d", "x")), (None, text("d")), (None, text("e")), (9, text("e", "x")), (3, ""), (3, ""), (4, None), (None, " \n")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or " ").strip()[:1]) for r in out.collect())
+    assert got == Counter({(1, "a"): 1, (5, "b"): 1, (5, "c"): 1, (None, "d"): 1, (9, "e"): 1, (3, ""): 2, (4, ""): 1, (None, ""): 1})
+    assert jaccard.one_of_each(no_docs).count() == 0
+    edge = Counter(texts(jaccard.one_of_each(edge_docs)))
+    assert edge[4, "one two three"] == 1
+    assert sum(n for (_, t), n in edge.items() if not t.strip()) == 4
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]
