@@ -27,6 +27,11 @@ def uniform(x: Protected, eps) -> np.ndarray:
     return np.full(x.n, x.laplace(Total(x.n), eps)[0] / x.n)
 
 
+def noisy_total(x: Protected, eps) -> float:
+    """The number of rows for the plans that need one; at least 1, as sizes and weights divide by it."""
+    return max(1.0, float(x.laplace(Total(x.n), eps)[0]))
+
+
 def privelet(x: Protected, eps) -> np.ndarray:
     return measured_by(x, Haar(x.n), eps)
 

@@ -256,8 +256,9 @@ def ahp_threshold(spark, d):
 @query(X + ", m AS (SELECT cell, 1500 / 64.0::DOUBLE * exp((value - 1500 / 64.0::DOUBLE) / 3000) AS v FROM x) SELECT cell, round(v * 1500 / sum(v) OVER (), 6) AS value FROM m")
 def mw_one_round(spark, d):
     x = balances(spark, d)
-    flat, steps = x.select("cell", F.lit(1500 / 64.0).alias("value")), x.select("cell", (F.col("value") - 1500 / 64.0).alias("step"))
-    return inference.multiplicative_round(flat, steps, 1500.0).select("cell", F.round("value", 6).alias("value"))
+    total = float(x.agg(F.sum("value")).first()[0])
+    flat, steps = x.select("cell", F.lit(total / 64.0).alias("value")), x.select("cell", (F.col("value") - total / 64.0).alias("step"))
+    return inference.multiplicative_round(flat, steps, total).select("cell", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH t AS (SELECT {bin_sql(DISCOUNT)} AS a, {bin_sql(FLAG)} AS b FROM lineitem), p AS (SELECT a, b, count(*)::DOUBLE / sum(count(*)) OVER () AS v FROM t GROUP BY 1, 2) SELECT round(sum(v * ln(v / (pa * pb)) / ln(2)), 8) AS information FROM (SELECT v, sum(v) OVER (PARTITION BY a) AS pa, sum(v) OVER (PARTITION BY b) AS pb FROM p)")
@@ -283,6 +284,11 @@ def _plan(name: str, run: Callable[[Protected], np.ndarray]) -> None:
     QUERIES[f"plan_{name}"] = one
 
 
+def _plan_of_total(name: str, run: Callable[[Protected, float, str], np.ndarray]) -> None:
+    """run: of the vector, its noisy total and what the total, at a twentieth, leaves of the budget."""
+    _plan(name, lambda x: run(x, algorithms.noisy_total(x, "0.05"), "0.95"))
+
+
 _plan("identity", lambda x: algorithms.identity(x, 1))
 _plan("uniform", lambda x: algorithms.uniform(x, 1))
 _plan("privelet", lambda x: algorithms.privelet(x, 1))
@@ -290,11 +296,11 @@ _plan("h2", lambda x: algorithms.h2(x, 1))
 _plan("hb", lambda x: algorithms.hb(x, 1))
 _plan("greedy_h", lambda x: algorithms.greedy_h(x, w.Prefix(64), 1))
 _plan("quad_tree", lambda x: algorithms.quad_tree(x, (8, 8), 1))
-_plan("uniform_grid", lambda x: algorithms.uniform_grid(x, (8, 8), 1500, 1))
-_plan("adaptive_grid", lambda x: algorithms.adaptive_grid(x, (8, 8), 1500, 1))
+_plan_of_total("uniform_grid", lambda x, total, eps: algorithms.uniform_grid(x, (8, 8), total, eps))
+_plan_of_total("adaptive_grid", lambda x, total, eps: algorithms.adaptive_grid(x, (8, 8), total, eps))
 _plan("marginals", lambda x: algorithms.marginals(x, (8, 8), 1))
 _plan("striped_hb", lambda x: algorithms.striped_hb(x, (8, 8), 1, 1))
 _plan("ahp", lambda x: algorithms.ahp(x, 1))
 _plan("dawa", lambda x: algorithms.dawa(x, w.Prefix(64), 1, seed=1))
-_plan("mwem", lambda x: algorithms.mwem(x, w.Prefix(64), 1500, 1, 3))
-_plan("mwem_least_squares", lambda x: algorithms.mwem(x, w.Prefix(64), 1500, 1, 3, least=True))
+_plan_of_total("mwem", lambda x, total, eps: algorithms.mwem(x, w.Prefix(64), total, eps, 3))
+_plan_of_total("mwem_least_squares", lambda x, total, eps: algorithms.mwem(x, w.Prefix(64), total, eps, 3, least=True))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil import queries
 from tallyveil.functions import noise
 from tallyveil.functions.binning import Attribute, predicate
 from tallyveil.operators import inference, strategy, vectors
@@ -114,6 +115,22 @@ def test_full_rank_plans_find_the_vector_without_noise(spark, name):
     assert np.allclose(getattr(algorithms, name)(Protected.over(r, eps, seed="t").vectorize(), eps), X, atol=1e-4)
 
 
+@pytest.mark.parametrize("name", ["mw_one_round", "plan_mwem", "plan_mwem_least_squares", "plan_uniform_grid", "plan_adaptive_grid"])
+def test_totals_are_the_tables_own(spark, name):
+    """Noise of the total has scale 20, of a least-squares grid some tens."""
+    for d, n in (("sf0.001", 150), ("sf0.1", 15000)):
+        got = queries.QUERIES[name](spark, f"/root/testdata/{d}").agg(F.sum("value")).first()[0]
+        assert abs(got - n) < (1e-3 if name == "mw_one_round" else 120), (d, got)
+
+
+@pytest.mark.parametrize("name", ["uniform_grid", "adaptive_grid"])
+def test_grids_are_chosen_for_the_tables_own_total(spark, monkeypatch, name):
+    told = []
+    monkeypatch.setattr(algorithms, name, lambda x, shape, total, eps: told.append(total) or np.zeros(x.n))
+    queries.QUERIES[f"plan_{name}"](spark, "/root/testdata/sf0.1")
+    assert abs(told[0] - 15000) < 200
+
+
 def test_strategies():
     tree = strategy.greedy_tree(w.Prefix(10))
     assert np.isclose(tree.sensitivity(), 1)
