@@ -204,6 +204,14 @@ def quadtree_root(spark, d):
     return y.where("query = 0").select(F.col("value").alias("total"), F.lit(80).cast("long").alias("cells"))
 
 
+@query("WITH RECURSIVE " + vector_sql("lineitem", *_GRID) + ", t(r0, r1, c0, c1) AS (SELECT 0::BIGINT, 9::BIGINT, 0::BIGINT, 7::BIGINT UNION ALL SELECT r0 + h * ((r1 - r0 + 1) // 2), CASE WHEN h = 0 AND r1 > r0 THEN r0 + (r1 - r0 + 1) // 2 - 1 ELSE r1 END, c0 + g * ((c1 - c0 + 1) // 2), CASE WHEN g = 0 AND c1 > c0 THEN c0 + (c1 - c0 + 1) // 2 - 1 ELSE c1 END FROM t, (VALUES (0), (1)) u(h), (VALUES (0), (1)) v(g) WHERE (r1 > r0 OR c1 > c0) AND (h = 0 OR r1 > r0) AND (g = 0 OR c1 > c0)) SELECT r0, c0, r1, c1, sum(value)::DOUBLE AS value FROM t JOIN x ON cell // 8 BETWEEN r0 AND r1 AND cell % 8 BETWEEN c0 AND c1 GROUP BY ALL")
+def quadtree_nodes(spark, d):
+    """Every node of the quad tree with its box, corners inclusive."""
+    tree = strategy.quad_tree((10, 8))
+    boxes = spark.createDataFrame([(k, *a, *b) for k, (a, b) in enumerate(zip(tree.low, tree.high, strict=True))], "query long, r0 long, c0 long, r1 long, c1 long")
+    return tree.apply(lineitem(spark, d, *_GRID).vectorize()).join(boxes, "query").select("r0", "c0", "r1", "c1", "value")
+
+
 @query(X + " SELECT cell // 4 AS cell, CAST(sum(value) AS BIGINT) AS value FROM x GROUP BY 1")
 def grid_reduce(spark, d):
     x = balances(spark, d)

@@ -131,6 +131,15 @@ def test_grids_are_chosen_for_the_tables_own_total(spark, monkeypatch, name):
     assert abs(told[0] - 15000) < 200
 
 
+def test_quadtree_nodes_equal_their_sql(spark):
+    duckdb, d = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
+    want = sorted(db.execute(queries.ORACLE_SQL["quadtree_nodes"]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES["quadtree_nodes"](spark, d).collect())) == want
+    assert len(want) == len(strategy.quad_tree((10, 8)).low) > 80
+
+
 def test_strategies():
     tree = strategy.greedy_tree(w.Prefix(10))
     assert np.isclose(tree.sensitivity(), 1)
