@@ -126,6 +126,34 @@ def test_line_dedup(spark, edge_docs, no_docs):
     assert Counter(texts(out)) == dedup_by_hand(texts(edge_docs))
 
 
+def test_line_dedup_of_hot_lines(spark):
+    """A line that most documents hold, one that each repeats, and lines at the limit of documents, over many partitions."""
+    rng, hot, often = random.Random(5), "a line that nearly every document of this corpus holds", "another one, held by many and repeated within each of them"
+    rows = []
+    for k in range(300):
+        lines = [hot] * (rng.random() < 0.9) + [often] * rng.choice([0, 0, 3]) + [f"a rarer line of number {rng.randint(0, 80)}, in a few documents" for _ in range(4)]
+        rng.shuffle(lines)
+        rows.append((k if k % 50 else None, "\n".join(lines)))
+    rows += [(7, rows[7][1])] * 40
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+        assert Counter(texts(out)) == dedup_by_hand(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_line_dedup_streams_sorted_chunks(spark, edge_docs):
+    """The secondary sort is in the plan that gives the verdicts, and no entry is joined by its hash but for the borders."""
+    dealt = linededup.stored(linededup.chunks(linededup.line_occurrences(edge_docs)), "chunks")
+    plan = linededup.dropped_lines(dealt)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[chunk#\d+ ASC[^,]*, h1#\d+L ASC[^,]*, h2#\d+L ASC[^,]*, doc_id#\d+L DESC[^,]*, text_hash#\d+L ASC[^,]*, pos#\d+ ASC", plan)
+    assert "SortMergeJoin" not in plan
+    assert "hashpartitioning(h1" not in plan
+    kept = {r["doc_id"]: r["keep"] for r in linededup.keep_bitmaps(edge_docs).collect()}
+    assert kept[8] == {0: ~(1 << 1)}
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a <|im_end|>\\1", 1.0), (1, 3, 1, "assistant", "b", 5.0), (1, 4, 3, "us\ner", None, None), (2, 1, 9, None, "orphan", 1.0), (3, 1, 2, "user", "x", 0.0), (3, 2, 1, "user", "y", 0.0), (None, 1, None, "assistant", "z", 0.0)]
     nodes = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
