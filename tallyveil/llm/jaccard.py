@@ -1,35 +1,45 @@
 """Exact n-gram Jaccard self-join by universe partition and pigeonhole.
 
-Two sets with Jaccard similarity of 3/4 or more differ in at most (r + s) / 7 elements. The universe of shingles is hashed
-into the segments of a size band; whatever a set has in a segment is the segment's subset. Walking the segments in one
-fixed order, two similar sets agree on some non-empty segment before either has passed H + 1 non-empty ones, H being their
-largest difference, so each set indexes that many subsets, in its own band and, where a smaller partner may lie there, in
-the band below. Allocation by cost: shingles that are frequent in the corpus form segments of their own at the end of the
-order, which only sets made up mostly of such shingles reach.
+Two sets with Jaccard similarity of 3/4 or more differ in at most H = (r + s) / 7 elements. The universe of shingles is
+hashed into the segments of a size band; whatever a set has in a segment is the segment's subset. A segment is allocated
+to one of two kinds of index, the same for all sets of a band: exact (two subsets meet if they are equal and not empty) or
+one-deletion (they meet also if one is the other less an element, and not empty; each set then adds its subset's deletions).
+Two subsets that do not meet differ in at least one element, and in two where a one-deletion subset has two elements or
+more. So each set walks its segments in one fixed order, gains that credit at each, and indexes those that it comes to with
+a credit of H or less: of two similar sets, the first segment where they meet is indexed by both. Each set does so in its
+own band and, where a smaller partner may lie there, in the band below.
+
+Allocation by cost: shingles that are frequent in the corpus form segments of their own at the end of the order, whose lists
+are long. One-deletion segments take more entries but gain credit faster, so that fewer sets come to the frequent ones. From
+which segment on a band uses them is chosen by the cost of a bounded sample of sets: entries, and a charge for each frequent
+one. Sets below SINGLE elements have single shingles as segments, where both kinds are the same.
 
 Sets that meet under a subset are candidates. Lists of such sets with the same first member merge into one star around
-it. Members are compared with the centre first; whoever turns out linked needs no further comparison, and the rest of each
-star become pivots in turn, until no untested pair of different components is left. So a star of near copies costs about
-its size and no link that joins components is lost. Large stars are compared in blocks of bounded size, of which only pairs
-leave whose parity bitmaps differ in few enough bits. Pairs are then pruned exactly by a bound on their overlap from
-histograms and verified on whole sets of 64-bit shingle hashes. Copies that are candidates of each other without any
-link cost a comparison of bitmaps each.
+it. A key that many sets of the sample share has its star's centre fixed beforehand, so its sets become pairs with that
+centre where they are read, and no list of them is gathered. Members are compared with the centre first; whoever turns out
+linked needs no further comparison, and the rest of each star become pivots in turn, until no untested pair of different
+components is left. So a star of near copies costs about its size and no link that joins components is lost. Large stars
+are compared in blocks of bounded size, of which only pairs leave whose parity bitmaps differ in few enough bits. Pairs are
+then pruned exactly by a bound on their overlap from histograms and verified on whole sets of 64-bit shingle hashes. Copies
+that are candidates of each other without any link cost a comparison of bitmaps each.
 
-Equal sets collapse into one representative before all this, by a 64-bit hash of the set.
+Equal sets collapse into one representative before all this, by a 64-bit hash of the set; rows are told apart by 128 bits.
 
 Defined cases: a null or empty text, or one of white space, has the empty set and links with nothing; fewer than n words
 are one shingle; rows with one id and different texts are documents of
-their own; equal rows have equal results; a component's id is its smallest non-null one; texts are whole.
+their own; equal rows have equal results; a component's id is its smallest non-null one; texts are whole; an empty table
+gives an empty result; other columns of docs do not matter, and pass through one_of_each under any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyveil.llm.shared import checkpointed, documents, private_name, stored
@@ -45,6 +55,13 @@ CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
 SMALL, FIRST, FASTER = 16, 4, 16
 #: Members and pivots of a larger star that one task compares at a time, and the log2 of a bitmap's bits.
 MEMBER_BLOCK, PIVOT_BLOCK, BITMAP = 2048, 512, 11
+#: Sets that the allocation and the shared keys are chosen from, as expected by their hashes; how many of them make a key a
+#: shared one; and the charge for a frequent entry, in entries. They change the cost and never the result.
+SAMPLE_SETS, SHARED, FREQUENT_COST = 4000, 8, 16
+#: Shares of a band's segments, in eighths, that may be exact.
+EIGHTHS = 8
+#: Stars from which a set's rows are dealt over SALTS when joined by set.
+MANY_STARS, SALTS = 256, 16
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
 BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
 
@@ -129,23 +146,62 @@ def needed(n: int) -> list[tuple[int, int]]:
     return [(c, need if c else min(need, n // 4 + 1)) for c, need in out]
 
 
-def subsets(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Hashes of the segment subsets that a set indexes. hot: sorted frequent shingles."""
-    n, out = len(s), []
-    if not n:
+@dataclass(frozen=True)
+class Allocation:
+    """For each band, the eighths of its order of segments that are exact; the rest are one-deletion. Bands not named: all exact."""
+
+    exact: tuple[tuple[int, int], ...] = ()
+
+    def first_deleting(self, b: int, segments: int) -> int:
+        return dict(self.exact).get(b, EIGHTHS) * segments // EIGHTHS
+
+
+ALL_EXACT = Allocation()
+
+
+def _key(total: np.ndarray, b: int) -> np.ndarray:
+    return _mix(total + _U(b)) & ~_U(1)
+
+
+def _band_keys(s: np.ndarray, often: np.ndarray, allocation: Allocation, b: int, need: int) -> tuple[np.ndarray, int]:
+    """The keys that a set indexes in a band, and how many of them are those of frequent segments."""
+    # one order for all sets of a band: cold segments, exact and then one-deletion ones, then frequent ones, which are exact
+    segments = band_top(b) // 2
+    place = (s % _U(segments) if b else s >> _U(1)) | (often.astype(np.uint64) << _U(63))
+    order = np.argsort(place)
+    place, element = place[order], _mix(s[order] + _U(b + 1))
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    size, where = np.diff(np.append(first, len(s))), place[first]
+    total = np.add.reduceat(element, first) + where * _BASE
+    deleting = (size > 1) & (where >= _U(allocation.first_deleting(b, segments))) & (where < _U(1 << 63)) & (b > 0)
+    credit = 1 + deleting
+    indexed = np.cumsum(credit) - credit < need
+    keys, deleting = _key(total[indexed], b), deleting & indexed
+    if deleting.any():
+        own = np.repeat(deleting, size)
+        keys = np.concatenate([keys, _key(np.repeat(total, size)[own] - element[own], b) | _U(1)])
+    return keys, int((where[indexed] >> _U(63)).sum())
+
+
+def _among(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+
+
+def subsets(s: np.ndarray, hot: np.ndarray, allocation: Allocation = ALL_EXACT) -> np.ndarray:
+    """Keys that a set indexes; those of deletions have the lowest bit set. hot: sorted frequent shingles."""
+    if not len(s):
         return np.zeros(0, np.uint64)
-    at = np.searchsorted(hot, s)
-    often = hot[np.minimum(at, len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
-    for b, need in needed(n):
-        # one order for all sets of a band: cold segments, then frequent ones
-        place = s >> _U(1) if not b else s % _U(band_top(b) // 2)
-        place = place | (often.astype(np.uint64) << _U(63))
-        order = np.argsort(place)
-        place = place[order]
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        total = np.add.reduceat(_mix(s[order] + _U(b + 1)), first)[:need]
-        out.append(_mix(total + place[first][:need] * _BASE + _U(b)))
-    return np.concatenate(out)
+    often = _among(s, hot)
+    return np.concatenate([_band_keys(s, often, allocation, b, need)[0] for b, need in needed(len(s))])
+
+
+def allocation_costs(s: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(band, eighths, entries, frequent entries) of a set, for each band that it indexes and each share of exact segments."""
+    often = _among(s, hot)
+    for b, need in needed(len(s)):
+        for eighths in range(EIGHTHS + 1) if b else ():
+            keys, frequent = _band_keys(s, often, Allocation(((b, eighths),)), b, need)
+            yield b, eighths, len(keys), frequent
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -217,7 +273,7 @@ def summaries(docs: DataFrame, n: int = WORDS) -> DataFrame:
         own, chunk, size, seen = Shingler(n), [], 0, set()
 
         def rows(row: list, count: list, value: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(count, pa.int64()), pa.array(value, pa.int64())], ["row", "n_shingles", "set_hash"])
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.binary()), pa.array(count, pa.int64()), pa.array(value, pa.int64())], ["row", "n_shingles", "set_hash"])
 
         def frequent() -> pa.RecordBatch:
             value, count = _count(chunk)
@@ -239,7 +295,7 @@ def summaries(docs: DataFrame, n: int = WORDS) -> DataFrame:
         if chunk:
             yield frequent()
 
-    return docs.select("row", "text").mapInArrow(run, "row long, n_shingles long, set_hash long")
+    return docs.select("row", "text").mapInArrow(run, "row binary, n_shingles long, set_hash long")
 
 
 def frequent_shingles(summary: DataFrame) -> np.ndarray:
@@ -249,67 +305,136 @@ def frequent_shingles(summary: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _index(docs: DataFrame, hot: np.ndarray, bits: int, n: int) -> DataFrame:
-    """(bucket, entries): 16-byte entries (subset hash, set hash) of the sets of each task, once a set and buffer."""
-    shared_hot = docs.sparkSession.sparkContext.broadcast(hot)
+def sampled_sets(docs: DataFrame, n_rows: int) -> DataFrame:
+    """The text of about SAMPLE_SETS rows, those of the smallest hashes; all rows of small tables."""
+    limit = int((1 << 64) * min(1.0, SAMPLE_SETS / max(1, n_rows))) - (1 << 63)
+    own = docs.where(F.xxhash64("row") < F.lit(limit)) if limit < 1 << 63 else docs
+    return stored(own.select("text"), "sampled_texts")
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(set hash, set) of the texts of a task, most repeats left out."""
+    own, seen = Shingler(n), set()
+    for batch in batches:
+        for _, _, texts in _batches(batch.column(0)):
+            for s in own.sets(texts):
+                h = set_hash(s)
+                if len(s) and h not in seen:
+                    seen.add(h)
+                    yield h, s
+            if len(seen) > 500_000:
+                seen.clear()
+
+
+def choose_allocation(sample: DataFrame, hot: np.ndarray, n: int = WORDS) -> Allocation:
+    """The cheapest share of exact segments of each band, by the sample's entries; ties to more exact ones."""
+    shared_hot = sample.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, parts, size = Shingler(n), set(), [], 0
+        cost: dict[tuple[int, int], int] = {}
+        for _, s in _distinct_sets(batches, n):
+            for b, eighths, entries, frequent in allocation_costs(s, shared_hot.value):
+                cost[b, eighths] = cost.get((b, eighths), 0) + entries + FREQUENT_COST * frequent
+        yield pa.RecordBatch.from_pydict({"band": pa.array([b for b, _ in cost], pa.int32()), "eighths": pa.array([e for _, e in cost], pa.int32()), "cost": pa.array(cost.values(), pa.int64())})
+
+    rows = sample.mapInArrow(run, "band int, eighths int, cost long").groupBy("band", "eighths").agg(F.sum("cost").alias("cost")).collect()
+    best: dict[int, tuple[int, int]] = {}
+    for r in rows:
+        best[r["band"]] = min(best.get(r["band"], (r["cost"], -r["eighths"])), (r["cost"], -r["eighths"]))
+    return Allocation(tuple(sorted((b, -e) for b, (_, e) in best.items())))
+
+
+def shared_keys(sample: DataFrame, hot: np.ndarray, allocation: Allocation, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, without their lowest bit, that SHARED or more sets of the sample index, each with one of these sets."""
+    shared_hot = sample.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, s in _distinct_sets(batches, n):
+            keys = np.unique(subsets(s, shared_hot.value, allocation) & ~_U(1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), h, np.int64))], ["key", "owner"])
+
+    found = sample.mapInArrow(run, "key long, owner long").groupBy("key").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("centre"))
+    rows = found.where(F.col("n") >= SHARED).select("key", "centre").toArrow()
+    keys, centres = (rows.column(c).to_numpy() for c in ("key", "centre"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], centres[order]
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """The distinct rows of two columns."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
+
+
+def _index(docs: DataFrame, hot: np.ndarray, allocation: Allocation, shared: tuple[np.ndarray, np.ndarray], bits: int, n: int) -> DataFrame:
+    """(bucket, entries, pairs) of the sets of each task, once a set and buffer: 16-byte entries (key, set hash), and for
+    shared keys 16-byte pairs (centre, set hash), which are dealt by the set."""
+    known = docs.sparkSession.sparkContext.broadcast((hot, *shared))
+
+    def blobs(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[int, bytes]:
+        order = np.argsort(bucket, kind="stable")
+        both = np.empty((len(order), 2), np.uint64)
+        both[:, 0], both[:, 1] = a[order], b[order]
+        bucket, raw = bucket[order], both.tobytes()
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+        return {int(bucket[k]): raw[16 * k : 16 * end] for k, end in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=False)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, keys_shared, centres = known.value
+        parts: list[tuple[np.ndarray, int]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([k for k, _ in parts])
-            owner = np.repeat(np.array([h for _, h in parts], np.int64), [len(k) for k, _ in parts])
-            bucket = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entries = np.empty((len(keys), 2), np.uint64)
-            entries[:, 0], entries[:, 1] = keys[order], owner[order].view(np.uint64)
-            bucket = bucket[order]
-            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            raw, ends = entries.tobytes(), [*first[1:].tolist(), len(bucket)]
-            blobs = [raw[16 * a : 16 * b] for a, b in zip(first.tolist(), ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
-
-        for batch in batches:
-            for _, _, texts in _batches(batch.column(0)):
-                for s in own.sets(texts):
-                    h = set_hash(s)
-                    if len(s) and h not in seen:
-                        seen.add(h)
-                        parts.append((subsets(s, shared_hot.value), h))
-                        size += len(parts[-1][0])
-                if size >= CHUNK:
-                    yield flush()
-                    parts, size = [], 0
-                if len(seen) > 500_000:
-                    seen = set()
+            owner = np.repeat(np.array([h for _, h in parts], np.int64).view(np.uint64), [len(k) for k, _ in parts])
+            of = lambda x: (x >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+            met = _among(keys & ~_U(1), keys_shared)
+            entries = blobs(of(keys[~met]), keys[~met], owner[~met])
+            centre = centres[np.searchsorted(keys_shared, keys[met] & ~_U(1))].view(np.uint64)
+            pairs = _distinct(np.stack([centre, owner[met]], 1)[centre != owner[met]])
+            pairs = blobs(of(_mix(pairs[:, 1])), pairs[:, 0], pairs[:, 1])
+            bucket = sorted({*entries, *pairs})
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([entries.get(k, b"") for k in bucket], pa.binary()), pa.array([pairs.get(k, b"") for k in bucket], pa.binary())], ["bucket", "entries", "pairs"])
+
+        for h, s in _distinct_sets(batches, n):
+            parts.append((subsets(s, hot, allocation), h))
+            size += len(parts[-1][0])
+            if size >= CHUNK:
+                yield flush()
+                parts, size = [], 0
         if parts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, entries binary")
+    return docs.select("text").mapInArrow(run, "bucket long, entries binary, pairs binary")
 
 
-def _groups(table: pa.Table) -> pa.Table:
-    """Of one bucket: the distinct lists of sets that share a subset, each with a hash of the list."""
-    entries = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table.column("entries")])
-    entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
-    key, owner = entries[:, 0], entries[:, 1].view(np.int64)
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
-    key, owner = key[new], owner[new]
+def _pairs(table: pa.Table) -> pa.Table:
+    """Of one bucket: the distinct pairs of the first set under a key and another, where one of all has the key as a subset;
+    and the pairs that came as such."""
+    of = lambda name: np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table.column(name)])
+    entries, pairs = of("entries"), of("pairs")
+    key, owner = entries[:, 0] & ~_U(1), entries[:, 1].view(np.int64)
+    order = np.lexsort((owner, key))
+    key, owner, exact = key[order], owner[order], entries[order, 0] & _U(1) == 0
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(first, len(key)))
-    lists = {}
-    for a, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        members = owner[a : a + k]
-        lists.setdefault(set_hash(members), members)
-    return pa.table({"group": pa.array(list(lists), pa.int64()), "members": pa.array([m.tolist() for m in lists.values()], pa.list_(pa.int64()))})
-
-
-def candidate_groups(docs: DataFrame, hot: np.ndarray, n_shingles: int, n: int = WORDS) -> DataFrame:
-    """(group, members): distinct lists of two or more set hashes that share a subset."""
+    if len(key):
+        size = np.diff(np.append(first, len(key)))
+        open_ = np.repeat(np.logical_or.reduceat(exact, first), size)
+        centre = np.repeat(owner[first], size)
+        keep = open_ & (centre != owner)
+        pairs = np.concatenate([pairs, np.stack([centre[keep], owner[keep]], 1).view(np.uint64)])
+    pairs = _distinct(pairs).view(np.int64)
+    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+
+def candidate_pairs(docs: DataFrame, hot: np.ndarray, n_rows: int, n_shingles: int, n: int = WORDS, allocation: Allocation | None = None) -> DataFrame:
+    """(a, b): the pairs of a star's centre and its other members, as set hashes; two sets that meet under a key are in one star."""
+    sample = sampled_sets(docs, n_rows)
+    allocation = allocation or choose_allocation(sample, hot, n)
+    shared = shared_keys(sample, hot, allocation, n)
     n_buckets = max(1, 6 * n_shingles // BUCKET_BYTES)
     bits = max(4, int(n_buckets).bit_length())
-    lists = _index(docs, hot, bits, n).groupBy("bucket").applyInArrow(_groups, "group long, members array<long>")
-    return lists.dropDuplicates(["group"])
+    return _index(docs, hot, allocation, shared, bits, n).groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -392,26 +517,36 @@ class Verifier:
         return self._both(hope, elements, ["elements"]).mapInArrow(exact, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS) -> DataFrame:
+def _by_set(members: DataFrame, table: DataFrame, many: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """members joined with the rows of table, one a set, whose column `key` is the set. The rows of a set of many stars are
+    dealt over salts, and the table's row of such a set is copied to each."""
+    known = table.join(many, F.col(key) == F.col("many_set"), "left")
+    known = known.withColumn("k_salt", F.explode(F.when(F.col("many_set").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("many_set")
+    return members.join(known, (F.col("set") == F.col(key)) & (F.col("salt") == F.col("k_salt")), how).drop("k_salt")
+
+
+def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation: Allocation | None = None) -> DataFrame:
     """(node, component) over the set hashes that link with another."""
     sets = summary.where("row is not null and n_shingles > 0")
     n_shingles, n_rows, n_own = sets.agg(F.sum("n_shingles"), F.count("*"), F.count_distinct("row")).first()
     n_shingles = n_shingles or 0
-    groups = stored(candidate_groups(docs, frequent_shingles(summary), n_shingles, n), "groups")
-    wanted = groups.select(F.explode("members").alias("set_hash")).distinct()
+    pairs = stored(candidate_pairs(docs, frequent_shingles(summary), n_rows, n_shingles, n, allocation), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     holders = sets.groupBy("set_hash").agg(F.min("row").alias("row")).join(wanted, "set_hash")
     test = Verifier(docs, checkpointed(holders), n, n_rows == n_own)
-    # a star's centre is the first member of its lists, and its first pivot
-    pairs = checkpointed(groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 2_147_483_647)).alias("b")).distinct())
+    # a star's centre is its first pivot
     centres = pairs.groupBy(F.col("a").alias("star")).count().where("count > 1").select("star")
     members = pairs.join(centres, F.col("a") == F.col("star"), "left_semi").select(F.col("a").alias("star"), F.col("b").alias("set"))
-    members = members.unionByName(centres.select("star", F.col("star").alias("set")))
-    members = checkpointed(members.join(test.sketches.select(F.col("set_hash").alias("set"), "size"), "set"))
+    many = checkpointed(members.groupBy(F.col("set").alias("many_set")).count().where(F.col("count") >= MANY_STARS).select("many_set"))
+    members = members.join(many, F.col("set") == F.col("many_set"), "left").select("star", "set", F.when(F.col("many_set").isNull(), 0).otherwise(F.pmod(F.xxhash64("star"), F.lit(SALTS))).cast("int").alias("salt"))
+    # a centre is a member of its own star, under any salt
+    members = members.unionByName(centres.join(many, F.col("star") == F.col("many_set"), "left").select("star", F.col("star").alias("set"), F.when(F.col("many_set").isNull(), 0).otherwise(F.pmod(F.xxhash64("star"), F.lit(SALTS))).cast("int").alias("salt")))
+    members = checkpointed(_by_set(members, test.sketches.select("set_hash", "size"), many, "set_hash").drop("set_hash"))
     used = centres.select("star", F.col("star").alias("set"))
     tested, edges, at_once = pairs, checkpointed(test.linked(pairs)), FIRST
     labels = components(edges)
     while True:
-        told = members.join(labels, members["set"] == labels["node"], "left").select("star", "set", "size", F.coalesce("component", "set").alias("component"))
+        told = _by_set(members, labels, many, "node", "left").select("star", "set", "salt", "size", F.coalesce("component", "set").alias("component"))
         parts = told.groupBy("star", "component").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("star").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("parts > 1").select("star", "largest", "members")
         told = checkpointed(told.join(open_, "star"))
@@ -421,14 +556,14 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS) -> DataFram
         pivots = checkpointed(rest.select("star", F.col("set").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("own_size"), "members", "k"))
         if not pivots.limit(1).count():
             return labels
-        pairs = _in_small_stars(pivots, told).unionByName(_in_large_stars(pivots, told, test.sketches)).distinct()
+        pairs = _in_small_stars(pivots, told).unionByName(_in_large_stars(pivots, told, test.sketches, many)).distinct()
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested, used = tested.unionByName(pairs), used.unionByName(pivots.select("star", F.col("pivot").alias("set")))
         new = checkpointed(test.linked(pairs, sized=True))
         if new.limit(1).count():
             edges = edges.unionByName(new)
             labels = components(edges)
-        members, at_once = told.select("star", "set", "size"), FASTER * at_once
+        members, at_once = told.select("star", "set", "salt", "size"), FASTER * at_once
 
 
 def _in_small_stars(pivots: DataFrame, told: DataFrame) -> DataFrame:
@@ -438,7 +573,7 @@ def _in_small_stars(pivots: DataFrame, told: DataFrame) -> DataFrame:
     return both.select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b"))
 
 
-def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame) -> DataFrame:
+def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame, many: DataFrame) -> DataFrame:
     """(a, b) as above, in blocks of members by blocks of pivots, where the bitmaps allow a link too."""
     of_own, of_other = (sketches.select(F.col("set_hash").alias("bits_of"), F.col("bitmap").alias("bitmap")) for _ in range(2))
     keys, large = ["star", "pivot_block", "block"], F.col("members") > SMALL
@@ -446,7 +581,7 @@ def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame) ->
     own = pivots.where(large).withColumn("pivot_block", F.expr(f"cast((k - 1) div {PIVOT_BLOCK} as int)"))
     n_pivots = own.groupBy("star").agg((F.max("pivot_block") + 1).alias("pivot_blocks"))
     own = own.join(of_own, F.col("pivot") == F.col("bits_of")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    others = told.where(large).join(n_pivots, "star").join(of_other, F.col("set") == F.col("bits_of")).withColumn("block", F.pmod(F.xxhash64("set").cast("long"), n_blocks).cast("int"))
+    others = _by_set(told.where(large).join(n_pivots, "star"), of_other, many, "bits_of").withColumn("block", F.pmod(F.xxhash64("set").cast("long"), n_blocks).cast("int"))
     others = others.withColumn("pivot_block", F.explode(F.sequence(F.lit(0), F.col("pivot_blocks") - 1)))
     own = own.select(*keys, "pivot", "own", "own_size", "bitmap").groupBy(*keys)
     return own.cogroup(others.select(*keys, "set", "component", "size", "bitmap").groupBy(*keys)).applyInArrow(_near_pivots, "a long, b long")
@@ -469,9 +604,15 @@ def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return named.join(ids, "set", "left").select("row", "doc_id", "n_shingles", own.alias("component_id"))
 
 
+def _row_number() -> Column:
+    """128 bits that tell rows of different ids or texts apart; nulls count as values of their own."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0"))
+    return F.unhex(F.md5(F.concat(known("doc_id"), F.lit("\0"), known("text"))))
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and a number of the row. The table is read again later, so the number depends on the row alone."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    return docs.select("doc_id", "text", _row_number().alias("row"))
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -483,7 +624,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS) -> DataFrame:
     keep = found.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # equal rows are merged where they are read, before the join deals them out by their hash
-    rows = docs.where(worded).withColumn(name, F.xxhash64("doc_id", "text")).dropDuplicates([name])
+    rows = docs.where(worded).withColumn(name, _row_number()).dropDuplicates([name])
     rows = rows.join(keep.select(F.col("least.row").alias(kept)), F.col(name) == F.col(kept), "left_semi").drop(name)
     return rows.unionByName(docs.where(~worded))
 

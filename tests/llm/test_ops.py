@@ -326,7 +326,38 @@ def classes_by_hand(rows):
     return Counter((i, len(s), least.get(root(k))) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def test_jaccard_join(spark, edge_docs, no_docs):
+def test_similar_sets_meet_under_every_allocation():
+    """Exact segments, one-deletion ones and mixed ones, with and without frequent shingles, in and across bands."""
+    rng, deletions = np.random.default_rng(4), 0
+    for trial in range(600):
+        size = int(rng.choice([3, 20, 60, 64, 70, 130, 250, 260, 400, 1100]))
+        base = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        a, b = base, base
+        while trial % 10:  # changes until one more would break the threshold
+            c, d = a, b
+            if rng.random() < 0.6:
+                c = np.delete(c, rng.integers(len(c)))
+            else:
+                d = np.unique(np.append(d, rng.integers(0, 1 << 64, 1, np.uint64)))
+            if not len(c) or not jaccard.links(c, d):
+                break
+            a, b = c, d
+        hot = np.sort(rng.choice(base, int(len(base) * rng.choice([0, 0.3, 0.9])), replace=False))
+        allocation = jaccard.Allocation(tuple((k, int(rng.integers(0, 9))) for k in range(6)))
+        x, y = (jaccard.subsets(s, hot, allocation) for s in (a, b))
+        one = np.uint64(1)
+        deletions += int((x & one).sum())
+        exact = lambda k: k[k & one == 0]  # noqa: B023, E731
+        assert len(np.intersect1d(exact(x), y & ~one)) or len(np.intersect1d(x & ~one, exact(y)))
+    assert deletions > 1000
+
+
+@pytest.mark.parametrize("eighths", [0, 4, 8, None])
+def test_jaccard_join(spark, edge_docs, no_docs, eighths, monkeypatch):
+    """Under fixed allocations and the chosen one, with centres of shared keys fixed early."""
+    if eighths is not None:
+        monkeypatch.setattr(jaccard, "choose_allocation", lambda *_: jaccard.Allocation(tuple((b, eighths) for b in range(8))))
+        monkeypatch.setattr(jaccard, "SHARED", 2)
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 6, 9, 40, 90, 300]))] for _ in range(25)]
     rows, k = texts(edge_docs), 100
