@@ -63,7 +63,7 @@ EIGHTHS = 8
 #: Stars from which a set's rows are dealt over SALTS when joined by set.
 MANY_STARS, SALTS = 256, 16
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
-BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
+BUCKET_BYTES, BROADCAST_ROWS = 12_000_000, 400_000
 
 _U = np.uint64
 #: Odd constants for hashing; any would do.
@@ -394,7 +394,7 @@ def _index(docs: DataFrame, hot: np.ndarray, allocation: Allocation, shared: tup
             pairs = _distinct(np.stack([centre, owner[met]], 1)[centre != owner[met]])
             pairs = blobs(of(_mix(pairs[:, 1])), pairs[:, 0], pairs[:, 1])
             bucket = sorted({*entries, *pairs})
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([entries.get(k, b"") for k in bucket], pa.binary()), pa.array([pairs.get(k, b"") for k in bucket], pa.binary())], ["bucket", "entries", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([entries.get(k, b"") for k in bucket], pa.binary()), pa.array([pairs.get(k, b"") for k in bucket], pa.binary())], ["bucket", "entries", "pairs"])
 
         for h, s in _distinct_sets(batches, n):
             parts.append((subsets(s, hot, allocation), h))
@@ -405,7 +405,7 @@ def _index(docs: DataFrame, hot: np.ndarray, allocation: Allocation, shared: tup
         if parts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, entries binary, pairs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, entries binary, pairs binary")
 
 
 def _pairs(table: pa.Table) -> pa.Table:
@@ -432,9 +432,10 @@ def candidate_pairs(docs: DataFrame, hot: np.ndarray, n_rows: int, n_shingles: i
     sample = sampled_sets(docs, n_rows)
     allocation = allocation or choose_allocation(sample, hot, n)
     shared = shared_keys(sample, hot, allocation, n)
-    n_buckets = max(1, 6 * n_shingles // BUCKET_BYTES)
-    bits = max(4, int(n_buckets).bit_length())
-    return _index(docs, hot, allocation, shared, bits, n).groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct()
+    bits = max(4, int(6 * n_shingles // BUCKET_BYTES).bit_length())
+    # a bucket is a task, so that no task's share depends on the number of partitions of the session
+    index = _index(docs, hot, allocation, shared, bits, n).repartitionById(1 << bits, "bucket")
+    return index.groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -599,9 +600,13 @@ def _named(docs: DataFrame, n: int) -> DataFrame:
 def join_documents(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) for each row of docs: the classes of the Jaccard join at 3/4."""
     named = _named(docs, n)
-    ids = named.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.join(ids, "set", "left").select("row", "doc_id", "n_shingles", own.alias("component_id"))
+    # a class of any size is dealt over as many parts as the session has partitions; the parts' least ids meet in one row each
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = named.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    own = named.where("n_shingles > 0").groupBy("set", "part").agg(F.min("doc_id").alias("least"))
+    least = own.groupBy("set").agg(F.min("least").alias("least"), F.collect_list("part").alias("parts")).select("set", "least", F.explode("parts").alias("part"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return named.join(least, ["set", "part"], "left").select("row", "doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _row_number() -> Column:
