@@ -48,6 +48,10 @@ _IN_BRACKETS = r"[ \t]*(?:\[[ ]?{0}[ ]?\]|\([ ]?{0}[ ]?\)|\{{[ ]?{0}[ ]?\}}|<[ ]
 _DISGUISED_DOT = rf" +dot +|{_IN_BRACKETS('dot')}"
 #: An address in any mix of plain, bracketed and worded marks. A local part has at most 64 characters, thus 32 labels.
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:{_DISGUISED_DOT})[A-Za-z0-9._%+-]++){{0,31}}(?:(?P<at> +at +|[ ]*@[ ]*)|{_IN_BRACKETS('at')})[A-Za-z0-9-]++(?:(?:\.|{_DISGUISED_DOT})[A-Za-z0-9-]++)+", re.I)
+#: Last labels of common addresses, less those that are common words; and words before "at" that are
+#: prose. Both judge only marks that are all in words.
+_TOP_LEVEL = frozenset("com org net edu gov mil int info biz name pro dev app io ai tv cc xyz online site tech cloud blog shop eu uk ca au nz ie de ch fr nl lu es pt gr pl cz sk hu ro bg dk se fi ee lv lt ru ua tr il pk cn hk tw jp kr sg th vn id ph br ar cl co mx pe za ng ke eg".split())
+_PROSE = frozenset("a all am an and are as be been call came come find for found go good here him her home i in is it join laugh live look looked looking looks me meet met not of on or out see stay stop the them there they this to up us visit wait was we were what when where who work you".split())
 _DOT = re.compile(rf"(?<! ) +dot +|{_IN_BRACKETS('dot')}", re.I)
 #: A worded dot before a number, and what must stand before it.
 _NUMERIC_DOT = re.compile(rf"(?<![ ,-])[ ,-]++(?:dot|point)[ ]++(?=[0-9]|(?:{_WORD})(?![A-Za-z]))", re.I)
@@ -129,6 +133,13 @@ def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     if "dot" in (low := text.lower()) or "point" in low:
         for m in _ADDRESS.finditer(text):
             dots = [(*d.span(), ".") for d in _DOT.finditer(text, *m.span())]
+            if not any(c in text[a:b] for a, b, _ in dots for c in "[({<"):
+                # words alone: they end with the last label that is a common one, and need another word before "at" than prose has
+                ends = [*(a for a, _, _ in dots[1:]), m.end()]
+                last = max((k for k, d in enumerate(dots) if text[d[1] : ends[k]].rsplit(".", 1)[-1].lower() in _TOP_LEVEL), default=-1)
+                dots = dots[: last + 1]
+                if m["at"] and "@" not in m["at"] and m[0].split(None, 1)[0].lower() in _PROSE:
+                    dots = []
             # "look at example.com" is prose: a worded or spaced at counts beside a disguised dot
             out += [*dots, *([(*m.span("at"), "@")] if m["at"] and dots else [])]
         out += [(*m.span(), ".") for m in _NUMERIC_DOT.finditer(text) if _NUMERIC_END.search(text[max(0, m.start() - 6) : m.start()])]

@@ -248,16 +248,20 @@ def test_licences_in_passages(spark, edge_docs):
     assert licenses.scan(edge_docs).count() == 0
 
 
+def base_by_hand(t):
+    want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
+    return sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
 def test_pii_base_equals_the_patterns():
     rng = random.Random(0)
     for _ in range(4000):
         t = "".join(rng.choice(["a", "b.", "@", ".", "1", "23", "255", "256", "4111 1111 1111 1111", "+", "(", " ", "-", "%", "\n", "é", "0000"]) for _ in range(rng.randint(1, 14)))
-        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
-        digits = lambda m: re.sub("[^0-9]", "", m[0])
-        want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
-        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
-        assert pii.find(t) == sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+        assert pii.find(t) == base_by_hand(t)
 
 
 @pytest.mark.parametrize(("text", "span"), [("mail jane [at] example [dot] com now", "jane [at] example [dot] com"), ("or jane at example dot co dot uk!", "jane at example dot co dot uk"), ("jane＠example．com", "jane＠example．com"), ("call plus four four two zero seven nine four six zero nine five eight", "plus four four two zero seven nine four six zero nine five eight"), ("look at this dot", None), ("one two three at the end", None)])
@@ -284,7 +288,7 @@ def test_pii_sees_through_mixed_disguises(text):
     assert [f"It was {text}, they said."[a:b] for _, a, b in found] == [text]
 
 
-@pytest.mark.parametrize("text", ["look at example.com", "one or two at most. Three dot the hill, four", "plus one two three", "seven point five, eight point nine", "[at] dot (dot) at one"])
+@pytest.mark.parametrize("text", ["look at example.com", "one or two at most. Three dot the hill, four", "plus one two three", "seven point five, eight point nine", "[at] dot (dot) at one", "call me at home dot we met at noon dot ok", "we stayed at the inn dot then we left", "look at example dot com", "meet us @ noon dot then go on"])
 def test_pii_leaves_prose_alone(text):
     assert pii.spans(text) == ([], [])
 
@@ -295,6 +299,30 @@ def test_pii_rewriting_is_linear():
         assert pii.spans(text) == ([], [])
 
 
+def test_pii_marks_on_prose_are_few(spark):
+    """Words of the tables' clean prose with many at, dot and digit words put between them."""
+    rng = random.Random(2)
+    words = [w for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect() for w in re.findall("[a-z]+", r["text"] or "")]
+    plain = [w for w in words if w not in pii._TOP_LEVEL]
+    text = lambda: " ".join(rng.choice(["at", "dot", rng.choice(plain), rng.choice(plain), rng.choice(plain)]) for _ in range(200))
+    assert sum(len(pii.spans(text())[1]) for _ in range(100)) == 0
+
+
+def test_pii_query(spark, edge_docs, tmp_path):
+    """The query's columns against the contract's patterns and the spans of each text."""
+    edge_docs.unionByName(edge_docs.limit(1).selectExpr("99L AS doc_id", "'jane [at] example [dot] com or 10.0.0.1, 4111 1111 1111 1111, +44 20 7946 0958 x@y.org' AS text", "slot", "size", "row")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in pii.op9_pii(spark, str(tmp_path)).collect()]
+    join = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+    want = []
+    for i, t in texts(spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        base, every = base_by_hand(t), pii.spans(t)[1]
+        assert set(base) <= set(every)
+        want.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.KINDS), hashlib.sha256(join(base).encode()).hexdigest(), join(every), len(every) - len(base)))
+    assert Counter(rows) == Counter(want)
+    assert [r[1:5] for r in rows if r[0] == 99] == [(1, 1, 1, 1)]
+    assert [r[7] for r in rows if r[0] == 99] == [1]
+
+
 def test_pii_documents(edge_docs, no_docs):
     assert pii.redact_documents(no_docs).count() == 0
     out = pii.redact_documents(edge_docs)
