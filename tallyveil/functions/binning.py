@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import io
+import tokenize
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -95,4 +97,11 @@ def predicate(text: str) -> Column:
                 return F.lit(e.value)
         raise ValueError(f"not allowed in a filter: {ast.dump(e)[:60]}")
 
-    return walk(ast.parse(text.replace("&", " and ").replace("|", " or "), mode="eval"))
+    return walk(ast.parse(_worded(text), mode="eval"))
+
+
+def _worded(text: str) -> str:
+    """&, | and ~ as and, or and not, which bind less than comparisons do; what stands in string literals is left alone."""
+    words = {"&": "and", "|": "or", "~": "not"}
+    tokens = tokenize.generate_tokens(io.StringIO(text.strip()).readline)
+    return " ".join(words.get(t.string, t.string) if t.type == tokenize.OP else t.string for t in tokens if t.type not in (tokenize.NEWLINE, tokenize.ENDMARKER)).strip()

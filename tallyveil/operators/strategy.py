@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from tallyveil.operators.workload import Dense, Matrix, Ranges
+from tallyveil.operators.workload import Dense, Matrix, Product, Ranges, Scaled, Sparse, Union, split
 
 
 def quad_tree(shape: tuple[int, int]) -> Ranges:
@@ -27,88 +27,130 @@ def quad_tree(shape: tuple[int, int]) -> Ranges:
     return Ranges(shape, low, high)
 
 
-def cells_of(shape: tuple[int, int], rows: int, cols: int, origin: tuple[int, int] = (0, 0)) -> tuple[list, list]:
-    low, high = [], []
-    for i in range(0, shape[0], rows):
-        for j in range(0, shape[1], cols):
-            low.append((origin[0] + i, origin[1] + j))
-            high.append((origin[0] + min(i + rows, shape[0]) - 1, origin[1] + min(j + cols, shape[1]) - 1))
-    return low, high
+# Grids
+
+
+def boxes(shape: tuple[int, int], side: int, origin: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of a grid's cells of the given side, those at the far edges clipped."""
+    at = np.stack(np.meshgrid(*[np.arange(0, n, side) for n in shape], indexing="ij"), -1).reshape(-1, 2)
+    return at + origin, np.minimum(at + side, shape) - 1 + np.array(origin)
+
+
+def side_for(shape: tuple[int, int], per_side: float) -> int:
+    """The side of cells of which about per_side lie along each attribute of a square of the same area."""
+    return max(1, math.floor(math.sqrt(shape[0] * shape[1]) / per_side))
 
 
-def grid_block(shape: tuple[int, int], total: float, eps: float, c: float = 10.0, adaptive: bool = False) -> int:
-    """Side of a uniform grid's cells for a public total."""
-    n, m = shape
-    if adaptive:
-        parts = max(10, int(math.sqrt(max(0.0, total * eps / c)) / 4 - 1) + 1) ** 2
-    else:
-        parts = max(1e-9, total * eps / c)
-    return max(1, int(math.sqrt(n * m / parts) - 1) + 1)
+def grid_side(shape: tuple[int, int], total: float, eps: float, c: float = 10.0, adaptive: bool = False) -> int:
+    """For a public total N: sqrt(N eps / c) cells a side; the first level of an adaptive grid has a quarter, ten at least."""
+    per_side = math.sqrt(max(1e-9, total * eps / c))
+    return side_for(shape, max(10, math.floor(per_side / 4)) if adaptive else per_side)
 
 
-def uniform_grid(shape: tuple[int, int], total: float, eps: float, c: float = 10.0, adaptive: bool = False) -> Ranges:
-    g = grid_block(shape, total, eps, c, adaptive)
-    return Ranges(shape, *cells_of(shape, g, g))
+def uniform_grid(shape: tuple[int, int], total: float, eps: float, c: float = 10.0, adaptive: bool = False, side: int | None = None) -> Ranges:
+    return Ranges(shape, *boxes(shape, side or grid_side(shape, total, eps, c, adaptive)))
 
 
 def adaptive_cells(first: Ranges, counts: np.ndarray, eps: float, c: float = 5.0) -> Ranges:
-    """Each first-level cell split by its noisy count."""
+    """Each first-level cell split by its noisy count n into sqrt(n eps / c) cells a side, one at least."""
     low, high = [], []
-    for (r0, c0), (r1, c1), v in zip(first.low, first.high, counts, strict=True):
-        n, m = r1 - r0 + 1, c1 - c0 + 1
-        side = 1 if v <= 0 else max(1, int(math.sqrt(v * eps / c) - 1) + 1)
-        g = max(1, int(math.sqrt(n * m / side**2) - 1) + 1)
-        a, b = cells_of((n, m), g, g, (r0, c0))
-        low += a
-        high += b
-    return Ranges(first.shape, low, high)
-
-
-def greedy_tree(workload: Matrix, branching: int = 2, grain: int = 100) -> Dense:
-    """A weighted tree for a workload: children first, then the root's weight by a grid search of the subtree's error."""
+    for a, b, n in zip(first.low, first.high, counts, strict=True):
+        own = tuple(int(k) for k in b - a + 1)
+        corners = boxes(own, side_for(own, max(1, math.floor(math.sqrt(max(0.0, n * eps / c))))), tuple(a))
+        low.append(corners[0])
+        high.append(corners[1])
+    return Ranges(first.shape, np.concatenate(low), np.concatenate(high))
+
+
+# A tree weighted for a workload
+
+
+def root_weight(error: float, gain: float, spread: float) -> tuple[float, float]:
+    """(t, error): the share t of the sensitivity that a node's children get, its own query the rest, and the error then.
+
+    The children's strategy K, scaled to sensitivity 1, has error E = tr(W K^-1 W'), and v = K^-1 1 gives gain m = |W v|^2
+    and spread k = 1'v. By the rank-one update of the inverse, with u = (1 - t) / t, the error is
+    (1 + u)^2 (E + (E k - m) u^2) / (1 + k u^2). Its derivative vanishes where
+    (E k - m) k u^4 + 2 (E k - m) u^2 - m u + E = 0, so the best u is 0 or a positive root.
+    """
+    rest = max(0.0, error * spread - gain)
+    roots = np.roots([rest * spread, 0, 2 * rest, -gain, error])
+    value = lambda u: (1 + u) ** 2 * (error + rest * u * u) / (1 + spread * u * u)
+    u = min([0.0, *(float(r.real) for r in roots if abs(r.imag) < 1e-9 * (1 + abs(r)) and r.real > 0)], key=value)
+    return 1 / (1 + u), value(u)
+
+
+def greedy_tree(workload: Matrix, branching: int = 2) -> Matrix:
+    """A tree of intervals with the weights that serve a workload best, chosen from the leaves up; sensitivity 1.
+
+    Adjacent cells that the workload treats alike are one leaf. Level by level, nodes are (first leaf, leaves); upwards,
+    each keeps its error and v = K^-1 1 over its leaves (see root_weight); downwards, each node's share is multiplied out.
+    """
     g = workload.gram()
-    n_all = len(g)
-
-    def solve(at: int, n: int, depth: int) -> tuple[float, np.ndarray, list[tuple[int, int, float]]]:
-        block = g[:, at : at + n]
-        if n == 1:
-            return float(block[:, 0] @ block[:, 0]), np.ones((1, 1)), [(at, 1, 1.0)]
-        if np.all(block == block[:, :1]):
-            return float(block[:, 0] @ block[:, 0]), np.full((n, n), 1.0 / n**2), [(at, n, 1.0)]
-        size, more = divmod(n, branching)
-        sizes = [1] * n if n <= branching else [size] * (branching - more) + [size + 1] * more
-        kids, start = [], at
-        for s in sizes:
-            kids.append(solve(start, s, depth + 1))
-            start += s
-        v, start, m1 = np.zeros(n), 0, 0.0
-        for s, (_, inv, _) in zip(sizes, kids, strict=True):
-            v[start : start + s] = inv.sum(0)
-            part = block[:, start : start + s] @ v[start : start + s]
-            m1 += float(part @ part)
-            start += s
-        whole, k, err = block @ v, v.sum(), sum(e for e, _, _ in kids)
-        m, decay = float(whole @ whole), branching ** (-depth / 2)
-        best, arg = math.inf, 0
-        for t in range(grain):
-            e1, e2 = (grain - t) ** 2, t**2 * decay
-            value = (err - ((m - m1) * decay + m1) * e2 / (e1 + e2 * k)) / e1
-            if value < best:
-                best, arg = value, t
-        p = 1 - arg / grain
-        inv, start = np.zeros((n, n)), 0
-        for s, (_, x, _) in zip(sizes, kids, strict=True):
-            inv[start : start + s, start : start + s] = x
-            start += s
-        q = (1 - p) ** 2
-        inv = (inv - q / (p * p + k * q) * np.outer(v, v)) / p**2
-        return best * grain**2, inv, [(at, n, 1 - p), *((a, s, w * p) for _, _, rows in kids for a, s, w in rows)]
-
-    rows = [r for r in solve(0, n_all, 0)[2] if r[2] > 0]
-    out = np.zeros((len(rows), n_all))
-    for k, (a, s, w) in enumerate(rows):
-        out[k, a : a + s] = w
-    return Dense(out)
+    first = np.flatnonzero(np.concatenate(([True], (g[:, 1:] != g[:, :-1]).any(0))))
+    ends, g = np.append(first[1:], workload.n), g[np.ix_(first, first)]
+    levels = [[(0, len(first))]]
+    children: list[list[range]] = []
+    while any(size > 1 for _, size in levels[-1]):
+        below, own = [], []
+        for at, size in levels[-1]:
+            starts = split(size, branching) if size > 1 else np.zeros(0, int)
+            own.append(range(len(below), len(below) + len(starts)))
+            below += [(at + int(a), int(n)) for a, n in zip(starts, np.diff(starts, append=size), strict=True)]
+        levels.append(below)
+        children.append(own)
+    children.append([range(0)] * len(levels[-1]))
+    v, share, error = np.ones(len(first)), [], []
+    for nodes, kids in zip(reversed(levels), reversed(children), strict=True):
+        own_share, own_error = [], []
+        for (at, size), k in zip(nodes, kids, strict=True):
+            if not k:
+                own_share.append(0.0)
+                own_error.append(float(g[at, at]))
+                continue
+            here = slice(at, at + size)
+            spread = float(v[here].sum())
+            t, e = root_weight(sum(error[0][j] for j in k), float(v[here] @ g[here, here] @ v[here]), spread)
+            v[here] /= t * t + (1 - t) ** 2 * spread
+            own_share.append(t)
+            own_error.append(e)
+        share.insert(0, own_share)
+        error.insert(0, own_error)
+    low, high, weight, passed = [], [], [], [1.0]
+    for nodes, kids, t in zip(levels, children, share, strict=True):
+        below = []
+        for (at, size), k, own, given in zip(nodes, kids, t, passed, strict=True):
+            if given * (1 - own) > 0:
+                low.append(first[at])
+                high.append(ends[at + size - 1] - 1)
+                weight.append(given * (1 - own))
+            below += [given * own] * len(k)
+        passed = below
+    return Product(Scaled(np.array(weight)), Ranges((workload.n,), np.array(low), np.array(high)))
+
+
+def with_intervals(query: Matrix, width: int) -> Matrix:
+    """A query, and sums of `width` cells each, in order, of the cells that it leaves out; the last may be shorter."""
+    rows = complement(query, width)
+    return Union([(query, 1.0), (rows, 1.0)]) if rows.m else query
+
+
+def complement(query: Matrix, width: int | None = None) -> Sparse:
+    """Sums of the cells that no query touches, `width` in each, or all in one."""
+    free = np.flatnonzero(query.absolute().transposed(np.ones(query.m)) == 0)
+    group = np.arange(len(free)) // (width or max(1, len(free)))
+    return Sparse(int(group[-1]) + 1 if len(free) else 0, query.n, group, free, np.ones(len(free)))
+
+
+def first_query(a: Matrix) -> Dense:
+    """The first row with an entry that is not 0."""
+    touched = np.flatnonzero(a.absolute().times(np.ones(a.n)) > 0)
+    if not len(touched):
+        raise ValueError("every query is empty")
+    return a.row(int(touched[0]))
+
+
+# Partitions that depend on (noisy) data
 
 
 def cluster_sorted(counts: np.ndarray, eps: float) -> np.ndarray:
@@ -142,6 +184,13 @@ def cluster_sorted(counts: np.ndarray, eps: float) -> np.ndarray:
     return part
 
 
+def cluster_runs(counts: np.ndarray, size: int = 4) -> np.ndarray:
+    """Part of each cell: runs of `size` in the order of the counts."""
+    part = np.empty(len(counts), np.int64)
+    part[np.argsort(counts, kind="stable")] = np.arange(len(counts)) // size
+    return part
+
+
 def interval_partition(counts: np.ndarray, eps: float, ratio: float = 0.25, seed: int | None = None, doubling: bool = True) -> np.ndarray:
     """Part of each cell: the cheapest cover by intervals of power-of-two lengths (or all lengths), each charged its noisy
     deviation from its mean and the noise that measuring it will cost."""
@@ -169,6 +218,12 @@ def interval_partition(counts: np.ndarray, eps: float, ratio: float = 0.25, seed
     return part
 
 
+def noisy_means(counts: np.ndarray, part: np.ndarray, eps: float, seed: int | None = None) -> np.ndarray:
+    """Each cell's share of its part's noisy sum."""
+    sums = np.bincount(part, counts) + np.random.default_rng(seed).laplace(0, 1 / eps, int(part.max()) + 1)
+    return (sums / np.bincount(part))[part]
+
+
 def same_columns(a: np.ndarray) -> np.ndarray:
     """Part of each cell: cells that every query treats alike, numbered by first appearance; exact."""
     seen: dict[bytes, int] = {}

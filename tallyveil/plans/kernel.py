@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.operators import measure, vectors
-from tallyveil.operators.workload import Matrix
+from tallyveil.operators.workload import Matrix, frame
 from tallyveil.sources.relation import Relation, _size
 
 
@@ -31,7 +31,7 @@ def exact(eps: float | str | Fraction) -> Fraction:
 @dataclass
 class Node:
     parent: Node | None
-    stability: int = 1
+    stability: int | Fraction = 1
     split: bool = False
     budget: Fraction | None = None
     spent: Fraction = field(default_factory=Fraction)
@@ -64,6 +64,11 @@ class Protected:
     def _child(self, data: Relation | DataFrame, n: int | None = None, node: Node | None = None) -> Protected:
         return Protected(node or Node(self._node), data, n, self._seed)
 
+    @property
+    def shape(self) -> tuple[int, ...]:
+        """Of a relation, its declared domain."""
+        return self._data.shape
+
     @property
     def spent(self) -> float:
         return float(self._node.spent)
@@ -74,8 +79,28 @@ class Protected:
     def project(self, *names: str) -> Protected:
         return self._child(self._data.project(*names))
 
-    def vectorize(self, weight: str | None = None, reduced: tuple[int, ...] | None = None) -> Protected:
-        return self._child(self._data.vectorize(weight, reduced), _size(reduced or self._data.shape))
+    def vectorize(self, weight: str | None = None, reduced: tuple[int, ...] | None = None, bounds: tuple[float, float] | None = None) -> Protected:
+        """bounds: of the weight, which is clipped to them; one row moves a weighted sum by up to the larger of them, so each
+        measurement of the vector is charged that many times its budget."""
+        if (weight is None) != (bounds is None):
+            raise ValueError("a weight needs declared bounds, and bounds need a weight")
+        node = Node(self._node, max(abs(exact(str(b))) for b in bounds)) if bounds else None
+        return self._child(self._data.vectorize(weight, reduced, bounds), _size(reduced or self._data.shape), node)
+
+    def keep(self) -> Protected:
+        """The same vector, computed once for all measurements of it."""
+        return self._child(self._data.persist(), self.n, self._node)
+
+    def reshape(self, shape: tuple[int, ...]) -> Protected:
+        """The same cells under other coordinates, which operators take as an argument."""
+        if _size(shape) != self.n:
+            raise ValueError(f"{shape} has not {self.n} cells")
+        return self
+
+    def group(self, cells: list[int]) -> Protected:
+        """The listed cells, renumbered in their order."""
+        own = frame(self._data.sparkSession, cell=np.array(cells, np.int64), place=np.arange(len(cells)))
+        return self._child(self._data.join(F.broadcast(own), "cell").select(F.col("place").alias("cell"), "value"), len(cells))
 
     def reduce_by_partition(self, part: np.ndarray) -> Protected:
         parts = _frame(self._data, part)
@@ -89,22 +114,27 @@ class Protected:
         return [self._child(rows.where(F.col("part") == k).select(F.col("local").alias("cell"), "value"), int(s), Node(split)) for k, s in enumerate(sizes)]
 
     def laplace(self, m: Matrix, eps: float | str | Fraction) -> np.ndarray:
-        """The noisy answers. Only noisy rows leave the executors."""
+        """The noisy answers, in the order of the queries. Only noisy rows leave the executors."""
         self._node.request(exact(eps))
-        rows = measure.laplace(m, self._data, float(eps), self._seed()).collect()
-        return np.array([r["value"] for r in sorted(rows, key=lambda r: r["query"])])
+        rows = measure.laplace(m, self._data, float(eps), self._seed()).toArrow()
+        return rows.column("value").to_numpy()[np.argsort(rows.column("query").to_numpy())]
 
     def worst_approximated(self, m: Matrix, estimate: np.ndarray, measured: list[int], eps: float | str | Fraction, mechanism: str = "exponential") -> int:
         self._node.request(exact(eps))
-        guess = self._data.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(estimate)], "cell long, value double")
+        guess = frame(self._data.sparkSession, cell=np.arange(len(estimate)), value=np.asarray(estimate, float))
         return measure.worst_approximated(m, self._data, guess, measured, float(eps), self._seed(), mechanism).first()[0]
 
     def mapping(self, eps: float | str | Fraction, find: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """A private partition: find sees the true vector and must itself spend no more than eps."""
         self._node.request(exact(eps))
-        rows = self._data.collect()
-        return find(np.array([r["value"] for r in sorted(rows, key=lambda r: r["cell"])], float))
+        rows = self._data.toArrow()
+        return find(rows.column("value").to_numpy()[np.argsort(rows.column("cell").to_numpy())].astype(float))
+
+    def selected(self, eps: float | str | Fraction, choose: Callable[[Relation, str], object]) -> object:
+        """A private choice on a relation: choose gets it with a seed and must itself spend no more than eps."""
+        self._node.request(exact(eps))
+        return choose(self._data, self._seed())
 
 
 def _frame(x: DataFrame, part: np.ndarray) -> DataFrame:
-    return x.sparkSession.createDataFrame([(k, int(p)) for k, p in enumerate(part)], "cell long, part long")
+    return frame(x.sparkSession, cell=np.arange(len(part)), part=np.asarray(part, np.int64))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyveil.functions.binning import Attribute, cell, predicate
@@ -35,26 +37,34 @@ class Relation:
             raise ValueError(f"no attributes {sorted(unknown)}")
         return replace(self, attributes=tuple(a for a in self.attributes if a.name in names))
 
-    def sparse(self, weight: str | None = None, reduced: tuple[int, ...] | None = None) -> DataFrame:
-        """(b0.., value) of the non-empty cells: one aggregate. reduced: a coarser shape that divides this one."""
+    def sparse(self, weight: str | None = None, reduced: tuple[int, ...] | None = None, bounds: tuple[float, float] | None = None) -> DataFrame:
+        """(b0.., value) of the non-empty cells: one aggregate. reduced: a coarser shape that divides this one; bounds: those
+        that weights are clipped to."""
         shape = reduced or self.shape
         if any(a % b for a, b in zip(self.shape, shape, strict=True)):
             raise ValueError("a reduced shape must divide the domain")
-        rows = self.frame.select(*[F.expr("0").alias("_")][:0], *[a.bin().alias(f"k{i}") for i, a in enumerate(self.attributes)], (F.col(weight).cast("double") if weight else F.lit(1)).alias("w"))
+        w = F.col(weight).cast("double") if weight else F.lit(1)
+        if bounds:
+            w = F.least(F.greatest(w, F.lit(float(bounds[0]))), F.lit(float(bounds[1])))
+        rows = self.frame.select(*[a.bin().alias(f"k{i}") for i, a in enumerate(self.attributes)], w.alias("w"))
         for i in range(len(shape)):
             rows = rows.where(F.col(f"k{i}").isNotNull())
         bins = [F.expr(f"k{i} div {a // b}").cast("int").alias(f"b{i}") for i, (a, b) in enumerate(zip(self.shape, shape, strict=True))]
         return rows.select(*bins, "w").groupBy(*[f"b{i}" for i in range(len(shape))]).agg(F.sum("w").alias("value"))
 
-    def vectorize(self, weight: str | None = None, reduced: tuple[int, ...] | None = None) -> DataFrame:
+    def vectorize(self, weight: str | None = None, reduced: tuple[int, ...] | None = None, bounds: tuple[float, float] | None = None) -> DataFrame:
         """The dense vector (cell, value): empty cells are there with 0, for noise must cover them too."""
         shape = reduced or self.shape
-        cells = self.sparse(weight, reduced).select(cell([F.col(f"b{i}") for i in range(len(shape))], shape).alias("cell"), "value")
+        cells = self.sparse(weight, reduced, bounds).select(cell([F.col(f"b{i}") for i in range(len(shape))], shape).alias("cell"), "value")
         return dense(cells, _size(shape))
 
     def statistics(self) -> DataFrame:
+        """Each attribute's mean, after recoding; recodings() gives the codes."""
         return self.frame.agg(*[F.avg(a.value()).alias(f"mean_{a.name}") for a in self.attributes])
 
+    def recodings(self) -> dict[str, dict]:
+        return {a.name: dict(a.recode) for a in self.attributes if a.recode}
+
 
 def _size(shape: tuple[int, ...]) -> int:
     out = 1
@@ -77,9 +87,25 @@ def load(spark: SparkSession, path: str, attributes: list[Attribute], form: str
 
 
 def vector_from_text(spark: SparkSession, path: str) -> DataFrame:
-    """(cell, value) from a file of one number a line; small files, numbered on the driver's side of the read."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], float(x[0][0])))
-    return spark.createDataFrame(rows, "cell long, value double")
+    """(cell, value) from files of one number a line, numbered in the order of files and lines. Each partition counts its
+    own lines, and the counts before it, one row a partition, are its offset."""
+    lines = spark.read.text(path).select(F.trim("value").cast("double").alias("value"), F.monotonically_increasing_id().alias("id"))
+    lines = lines.withColumn("part", F.shiftright("id", 33).cast("int")).withColumn("at", F.col("id").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    return lines.join(F.broadcast(offsets), "part").select((F.col("first") + F.col("at")).alias("cell"), "value")
+
+
+def vector_from_array(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, value) from a .npy file on the driver, flattened in row-major order."""
+    x = np.load(path).reshape(-1)
+    return spark.createDataFrame(pa.table({"cell": np.arange(len(x)), "value": x.astype(float)}))
+
+
+def write_libsvm(x: DataFrame, path: str) -> None:
+    """Rows (label, features array<double>) in LIBSVM's text form, indices from 1, zeros left out."""
+    terms = F.filter(F.transform("features", lambda v, i: F.when(v != 0, F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string")))), lambda t: t.isNotNull())
+    x.select(F.concat_ws(" ", F.col("label").cast("string"), F.array_join(terms, " ")).alias("value")).write.text(path)
 
 
 class Sources:

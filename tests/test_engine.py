@@ -1,3 +1,4 @@
+import json
 from fractions import Fraction
 
 import numpy as np
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 from tallyveil import queries
 from tallyveil.functions import noise
 from tallyveil.functions.binning import Attribute, predicate
-from tallyveil.operators import inference, strategy, vectors
+from tallyveil.operators import bayes, inference, partitions, strategy, vectors
 from tallyveil.operators import workload as w
-from tallyveil.plans import algorithms
+from tallyveil.plans import algorithms, service
 from tallyveil.plans.kernel import BudgetExceeded, Node, Protected
-from tallyveil.sources.relation import Relation
+from tallyveil.sources import synthetic
+from tallyveil.sources.relation import Relation, load, vector_from_array, vector_from_text, write_libsvm
 
 X = np.array([3.0, 0, 5, 1, 0, 2, 7, 4])
 
@@ -24,11 +26,70 @@ def answers(df):
     return np.array([r["value"] for r in sorted(df.collect(), key=lambda r: r["query"])])
 
 
-@pytest.mark.parametrize("m", [w.Identity(8), w.Total(8), w.Prefix(8), w.Suffix(8), w.WidthK(8, 3), w.Haar(8), w.Tree(8), w.Tree(8, 2, root=False), w.all_ranges(8), w.Dense(np.arange(16).reshape(2, 8)), w.Kronecker([w.Prefix(2), w.Haar(4)]), w.Union([(w.Total(8), 1.0), (w.Identity(8), 0.5)]), w.Ranges((2, 4), [(0, 1)], [(1, 2)])], ids=lambda m: type(m).__name__)
+MATRICES = [
+    w.Identity(8), w.Total(8), w.Ones(3, 8), w.Prefix(8), w.Suffix(8), w.WidthK(8, 3), w.Blocks(8, 3), w.Haar(8), w.Tree(8), w.Tree(8, 3), w.Tree(8, 2, root=False), w.Hierarchy((2, 4), 2),
+    w.all_ranges(8), w.Dense(np.arange(16).reshape(2, 8)), w.Kronecker([w.Prefix(2), w.Haar(4)]), w.Kronecker([w.Suffix(2), w.Tree(4, 3)]), w.Kronecker([w.all_ranges(2), w.WidthK(4, 2)]),
+    w.Union([(w.Total(8), 1.0), (w.Tree(8, 3), 0.5)]), w.Ranges((2, 4), [(0, 1)], [(1, 2)]), w.NormK(8, 2), w.moments(8), w.Prefix(8) - w.Identity(8), 3 * w.Prefix(8), w.Haar(8) @ w.Prefix(8),
+    w.Haar(8).transpose(), w.Haar(8).inverse(), w.Beside([w.Prefix(4), w.Suffix(4)]), w.disjuncts([w.Prefix(2), w.Identity(4)]), w.weighted_marginals((2, 4), {1: 2.0, 2: 0.5}), w.Scaled(X),
+    strategy.greedy_tree(w.Prefix(8)), strategy.complement(w.Ranges((8,), [2], [4]), 2), partitions.reduction(np.array([2, 0, 0, 1, 2, 2, 0, 1])),
+]
+
+
+@pytest.mark.parametrize("m", MATRICES, ids=lambda m: type(m).__name__)
 def test_plan_equals_dense_matrix(spark, m):
-    assert np.allclose(answers(m.apply(frame(spark, X))), m.numpy() @ X)
-    assert m.sensitivity() == np.abs(m.numpy()).sum(0).max()
-    assert np.allclose(m.gram(), m.numpy().T @ m.numpy())
+    got, a = m.apply(frame(spark, X)).collect(), m.numpy()
+    assert np.allclose([r["value"] for r in sorted(got, key=lambda r: r["query"])], (a @ X)[: len(got)] if len(got) == m.m else (a @ X)[a.any(1)])
+    assert all(0 <= r["query"] < m.span for r in got)
+
+
+@pytest.mark.parametrize("m", [*MATRICES, w.Tree(7), w.Tree(50, 8, root=False), w.hb_tree((560,)), w.Hierarchy((5, 3, 4), 3), w.random_ranges((4, 5), 7), w.random_ranges((8, 8), 5, 1, [(2, 3)])], ids=lambda m: type(m).__name__)
+def test_products_equal_dense_matrix(m):
+    rng, a = np.random.default_rng(0), m.numpy()
+    assert a.shape == (m.m, m.n)
+    x, y = rng.standard_normal((m.n, 2)), rng.standard_normal(m.m)
+    assert np.allclose(m.times(x), a @ x)
+    assert np.allclose(m.transposed(y), a.T @ y)
+    assert np.isclose(m.sensitivity(), np.abs(a).sum(0).max())
+    assert np.allclose(m.gram(), a.T @ a)
+    assert np.allclose(m.absolute().numpy(), np.abs(a))
+    assert np.allclose(m.squared().numpy(), a**2)
+    assert np.allclose(m.row(m.m - 1).numpy()[0], a[-1])
+    assert np.isclose(m.total(), a.sum())
+    if m.n < 100:
+        assert np.allclose(m.pseudo_inverse().numpy(), np.linalg.pinv(a))
+
+
+def test_square_matrices():
+    for m in (w.Identity(4), w.Prefix(4), w.Haar(4), w.Kronecker([w.Prefix(2), w.Haar(4)]), w.Haar(4) @ w.Prefix(4), 2 * w.Prefix(4)):
+        assert np.allclose(m.inverse().numpy() @ m.numpy(), np.eye(m.n))
+        assert np.isclose(m.trace(), np.trace(m.numpy()))
+        assert np.allclose(m.diagonal(), np.diag(m.numpy()))
+    with pytest.raises(ValueError, match="power of two"):
+        w.Haar(6)
+    with pytest.raises(ValueError, match="Gram"):
+        w.Gram(np.eye(3)).numpy()
+    assert [len(f) for _, f in w.sum_of_kroneckers(w.disjuncts([w.Prefix(2), w.Identity(4)]))] == [2, 2]
+
+
+def test_trees_split_as_evenly_as_cells_allow():
+    assert w.Tree(16).m == 31
+    assert w.split(7, 3).tolist() == [0, 3, 5]
+    assert w.best_branching(560) == 24
+    for n in (7, 50, 560):
+        assert np.linalg.matrix_rank(w.Tree(n, 2).numpy()) == n
+
+
+def test_marginals_algebra():
+    shape, weights = (2, 3, 4), {5: 2.0, 7: 1.0, 0: 1.0}
+    a, g = w.weighted_marginals(shape, weights), w.MarginalsGram.of(shape, weights)
+    assert np.allclose(g.numpy(), a.gram())
+    assert np.allclose((g @ g).numpy(), a.gram() @ a.gram())
+    assert np.allclose(g.inverse().numpy(), np.linalg.inv(a.gram()))
+    assert np.isclose(g.trace(), np.trace(a.gram()))
+    singular = w.MarginalsGram.of(shape, {5: 2.0, 2: 1.0})
+    assert np.allclose(singular.numpy() @ singular.inverse().numpy() @ singular.numpy(), singular.numpy())
+    assert w.kept(5, 3) == (0, 2)
+    assert {k: round(v, 9) for k, v in w.approximating_marginals(shape, a.gram()).items()} == weights
 
 
 @pytest.mark.parametrize(("lo", "hi", "n"), [(0, 0.1, 10), (-1, 1, 7), (1, 51, 50), (0, 1, 3)])
@@ -51,6 +112,12 @@ def test_predicate_treats_missing_as_false(spark):
         predicate("__import__('os')")
 
 
+def test_predicate_leaves_strings_alone(spark):
+    df = spark.createDataFrame([("A&B", 1), ("A and B", 2), ("x|y", 3)], "a string, n int")
+    rows = lambda t: [r["n"] for r in df.filter(predicate(t)).orderBy("n").collect()]
+    assert (rows("a == 'A&B'"), rows("a in ['x|y', 'q']"), rows("n > 1 & n < 3 | a == 'x|y'"), rows("~(n > 1)")) == ([1], [3], [2, 3], [1])
+
+
 def test_vector_keeps_empty_cells_and_projects(spark):
     r = Relation(spark.createDataFrame([(1, "x"), (3, "y")], "a int, b string"), (Attribute("a", 4, 0, 4), Attribute("b", 2, 0, 2, {"x": 0, "y": 1})))
     assert [x["value"] for x in r.project("a").vectorize().orderBy("cell").collect()] == [0, 1, 0, 1]
@@ -108,11 +175,72 @@ def test_equal_shares_fit_exactly(spark):
         p.vectorize().laplace(w.Identity(4), "0.0001")
 
 
-@pytest.mark.parametrize("name", ["identity", "privelet", "h2", "hb"])
-def test_full_rank_plans_find_the_vector_without_noise(spark, name):
-    r = Relation(spark.createDataFrame([(i,) for i, v in enumerate(X) for _ in range(int(v))], "a int"), (Attribute("a", 8, 0, 8),))
-    eps = 10**9
-    assert np.allclose(getattr(algorithms, name)(Protected.over(r, eps, seed="t").vectorize(), eps), X, atol=1e-4)
+def protected(spark, x, eps):
+    r = Relation(spark.createDataFrame([(i,) for i, v in enumerate(x) for _ in range(int(v))], "a int"), (Attribute("a", len(x), 0, len(x)),))
+    return Protected.over(r, eps, seed="t").vectorize().keep()
+
+
+PLANS = {
+    "identity": lambda x, eps, n: algorithms.identity(x, eps), "h2": lambda x, eps, n: algorithms.h2(x, eps), "hb": lambda x, eps, n: algorithms.hb(x, eps),
+    "greedy_h": lambda x, eps, n: algorithms.greedy_h(x, w.Prefix(n), eps), "dawa": lambda x, eps, n: algorithms.dawa(x, w.Prefix(n), eps, seed=1),
+    "ahp": lambda x, eps, n: algorithms.ahp(x, eps),
+}
+
+
+@pytest.mark.parametrize("n", [7, 50, 560])
+@pytest.mark.parametrize("name", PLANS)
+def test_full_rank_plans_find_the_vector_without_noise(spark, name, n):
+    x, eps = np.random.default_rng(n).integers(0, 9, n).astype(float), 10**9
+    assert np.allclose(PLANS[name](protected(spark, x, eps), eps, n), x, atol=1e-3)
+
+
+@pytest.mark.parametrize("run", [
+    lambda x, eps: algorithms.privelet(x, eps, (4, 16)), lambda x, eps: algorithms.h2(x, eps, (4, 16)), lambda x, eps: algorithms.striped_hb(x, (4, 16), 1, eps),
+    lambda x, eps: algorithms.striped_hb_apart(x, (4, 16), 0, eps), lambda x, eps: algorithms.dawa_2d(x, (4, 16), w.Identity(64), eps, seed=1), lambda x, eps: algorithms.quad_tree(x, (4, 16), eps),
+    lambda x, eps: algorithms.dawa_striped(x, (4, 16), 0, w.Identity(64), eps, seed=1), lambda x, eps: algorithms.dawa_striped_product(x, (4, 16), 1, [[w.Identity(4), w.Prefix(16)]], eps, seed=1),
+    lambda x, eps: algorithms.adaptive_grid(x, (4, 16), 1e6, eps), lambda x, eps: algorithms.uniform_grid(x, (4, 16), 1e6, eps),
+])
+def test_plans_on_products_find_the_vector_without_noise(spark, run):
+    x, eps = np.random.default_rng(1).integers(0, 9, 64).astype(float), 10**9
+    assert np.allclose(run(protected(spark, x, eps), eps), x, atol=1e-3)
+
+
+def test_marginal_plans_find_the_marginals_without_noise(spark):
+    x, eps = np.random.default_rng(1).integers(0, 9, 64).astype(float), 10**9
+    for got in (algorithms.marginals(protected(spark, x, eps), (4, 16), eps), algorithms.marginals_smart(protected(spark, x, eps), (4, 16), w.Prefix(64), eps, small=10, seed=1)):
+        assert np.allclose(got.reshape(4, 16).sum(0), x.reshape(4, 16).sum(0), atol=1e-3)
+        assert np.allclose(got.reshape(4, 16).sum(1), x.reshape(4, 16).sum(1), atol=1e-3)
+
+
+def test_large_domains_stay_implicit():
+    """280,000 cells, of which a dense strategy would take 600 GB."""
+    n, rng = 280_000, np.random.default_rng(0)
+    x = rng.integers(0, 9, n).astype(float)
+    for m in (w.Tree(n), w.hb_tree((50, 100, 7, 4, 2)), w.Hierarchy((50, 100, 56), 2), w.k_way_marginals((50, 100, 56), 2)):
+        found = inference.least_squares([(m, m.times(x), 1.0)])
+        assert np.allclose(m.times(found), m.times(x), atol=1e-3)
+    power = w.Haar(1 << 18)
+    assert np.allclose(inference.least_squares([(power, power.times(x[: 1 << 18]), 1.0)]), x[: 1 << 18], atol=1e-4)
+
+
+def test_stripes_are_charged_in_parallel(spark):
+    x = protected(spark, X, 1)
+    algorithms.striped_hb_apart(x, (2, 4), 1, "0.5")
+    algorithms.dawa_striped(x, (2, 4), 1, w.Identity(8), "0.5", seed=0)
+    assert x.spent == 1
+
+
+def test_weighted_sums_are_charged_by_their_bounds(spark):
+    r = Relation(spark.createDataFrame([(0, 100.0), (1, -9.0), (1, 2.0)], "a int, v double"), (Attribute("a", 2, 0, 2),))
+    p = Protected.over(r, 1, seed="t")
+    x = p.vectorize("v", bounds=(-1, 4))
+    assert [round(v["value"]) for v in x._data.orderBy("cell").collect()] == [4, 1]
+    x.laplace(w.Identity(2), "0.25")
+    assert p.spent == 1
+    with pytest.raises(BudgetExceeded):
+        x.laplace(w.Identity(2), "0.01")
+    with pytest.raises(ValueError, match="bounds"):
+        p.vectorize("v")
 
 
 @pytest.mark.parametrize("name", ["mw_one_round", "plan_mwem", "plan_mwem_least_squares", "plan_uniform_grid", "plan_adaptive_grid"])
@@ -150,6 +278,102 @@ def test_strategies():
     assert np.linalg.matrix_rank(quad) == 15
     assert len(set(strategy.cluster_sorted(np.array([0, 100, 1, 99.0, 0]), 0.5)[[0, 2, 4]])) == 1
     assert strategy.interval_partition(np.array([5, 5, 5, 5, 90, 90, 90, 90.0]), 1000, seed=0).tolist() == [0] * 4 + [1] * 4
+    assert strategy.cluster_runs(np.array([9, 1, 5, 0, 7.0]), 2).tolist() == [2, 0, 1, 0, 1]
+    assert np.allclose(strategy.noisy_means(np.array([2, 4, 9.0]), np.array([0, 0, 1]), 1e9, 0), [3, 3, 9])
+    assert strategy.with_intervals(w.Ranges((8,), [2], [4]), 2).numpy().tolist() == [[0, 0, 1, 1, 1, 0, 0, 0], [1, 1, 0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1, 1, 0], [0, 0, 0, 0, 0, 0, 0, 1]]
+    assert strategy.first_query(w.Dense([[0, 0], [0, 3], [1, 1]])).numpy().tolist() == [[0, 3]]
+    assert strategy.with_intervals(w.Total(4), 2).m == 1
+    grid = strategy.uniform_grid((10, 7), 1000, 1.0)
+    assert (grid.transposed(np.ones(grid.m)) == 1).all()
+    cells = strategy.adaptive_cells(strategy.uniform_grid((10, 7), 0, 1, side=5), np.array([900, 0, 40, -3.0]), 1.0)
+    assert (cells.transposed(np.ones(cells.m)) == 1).all()
+
+
+def test_root_weight_is_the_best_on_a_fine_grid():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        error, spread = rng.uniform(0.1, 50), rng.uniform(0.5, 9)
+        gain = rng.uniform(0, 1) * error * spread
+        t, least = strategy.root_weight(error, gain, spread)
+        shares = np.linspace(1e-3, 1, 4000)
+        q = (1 - shares) ** 2
+        every = (error - q * gain / (shares**2 + q * spread)) / shares**2
+        assert 0 < t <= 1
+        assert least <= every.min() * (1 + 1e-9)
+
+
+def test_greedy_trees_are_no_worse_than_cells_or_fixed_trees():
+    for m in (w.Prefix(13), w.all_ranges(16), w.random_ranges((32,), 20), w.Total(9), w.Prefix(4) @ w.Blocks(16, 4)):
+        own = inference.expected_error(m, strategy.greedy_tree(m), 1.0)
+        assert own <= (1 + 1e-9) * min(inference.expected_error(m, w.Identity(m.n), 1.0), inference.expected_error(m, w.Tree(m.n), 1.0))
+
+
+def test_partition_arrays():
+    part = np.array([7, 3, 7, 9, 3])
+    assert partitions.canonical(part).tolist() == [0, 1, 0, 2, 1]
+    assert partitions.numbered(part).tolist() == [1, 0, 1, 2, 0]
+    assert {k: v.tolist() for k, v in partitions.statistics(part).items()} == {"id": [3, 7, 9], "first": [1, 0, 3], "size": [2, 2, 1]}
+    assert np.allclose((partitions.reduction(part) @ partitions.expansion(part)).numpy(), np.eye(3))
+    assert partitions.projection(part, 7).times(np.arange(5.0)).tolist() == [0, 2]
+    assert len(set(partitions.combine(np.arange(8), np.arange(4)).tolist())) == 32
+    assert partitions.of_clusters([(0, 4), (4, 8)], range(7, -1, -1)).tolist() == [1, 1, 1, 1, 0, 0, 0, 0]
+    assert partitions.box_shapes(np.array([[1, 1, 2, 2]] * 3), (3, 4)) == {1: (3, 2), 2: (3, 2)}
+    assert partitions.box_shapes(np.array([[1, 2], [2, 1]]), (2, 2)) is None
+    assert partitions.blocks((4, 4), (2, 2)).tolist() == [0, 0, 1, 1] * 2 + [2, 2, 3, 3] * 2
+    assert [len(set(partitions.striped((8, 4, 2), k).tolist())) for k in range(3)] == [8, 16, 32]
+    assert len(set(partitions.uniform_grid((9, 9), 40, 1.0).tolist())) == 9
+    with pytest.raises(ValueError, match="once"):
+        partitions.of_boxes(w.Ranges((4,), [0, 1], [2, 3]))
+
+
+@pytest.mark.parametrize("side", [2, 4, 16])
+def test_hilbert_order_moves_one_step_at_a_time(side):
+    at = np.argsort(algorithms.hilbert_order(side))
+    steps = np.abs(np.diff(at // side)) + np.abs(np.diff(at % side))
+    assert (steps == 1).all()
+
+
+def test_synthetic_histograms(spark):
+    x = np.array([r["value"] for r in synthetic.zipf(spark, 300, 5000, "s").orderBy("cell").collect()])
+    assert (x.sum(), len(x), (x > 0).sum() <= 60) == (5000, 300, True)
+    assert synthetic.geometric_fill(4, 100, 0.5) == [54, 26, 13, 6] or sum(synthetic.geometric_fill(4, 100, 0.5)) == 100
+    assert synthetic.table(spark, 100, "s", (3, 2, 2)).count() == 12
+    even = [r["value"] for r in synthetic.uniformity(spark, 10, 0.5, 100.0, "s").collect()]
+    assert sorted(even) == [0.0] * 5 + [20.0] * 5
+
+
+def test_files(spark, tmp_path):
+    lines = [float(k * k % 17) for k in range(500)]
+    spark.createDataFrame([(str(v),) for v in lines], "value string").coalesce(1).write.text(f"{tmp_path}/v")
+    assert [r["value"] for r in vector_from_text(spark, f"{tmp_path}/v").orderBy("cell").collect()] == lines
+    np.save(tmp_path / "v.npy", np.arange(6).reshape(2, 3))
+    assert [r["value"] for r in vector_from_array(spark, str(tmp_path / "v.npy")).orderBy("cell").collect()] == [0, 1, 2, 3, 4, 5]
+    write_libsvm(spark.createDataFrame([(1, [0.0, 2.5, 0.0, 1.0])], "label int, features array<double>"), f"{tmp_path}/l")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/l").collect()] == ["1 2:2.5 4:1.0"]
+    (tmp_path / "t.csv").write_text("a|b\n1|x\n3|y\n")
+    r = load(spark, str(tmp_path / "t.csv"), [Attribute("a", 4, 0, 4), Attribute("b", 2, 0, 2, {"x": 0, "y": 1})], "csv", schema="a int, b string", sep="|", header=True)
+    assert r.vectorize().agg(F.sum("value")).first()[0] == 2
+    assert r.recodings() == {"b": {"x": 0, "y": 1}}
+
+
+def test_bayesian_networks(spark):
+    """b follows a, c is by chance; parents at coarse levels where tables are small."""
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 8, 4000)
+    rows = [(int(i), int(i // 2), int(rng.integers(0, 3))) for i in a]
+    r = Relation(spark.createDataFrame(rows, "a int, b int, c int"), (Attribute("a", 8, 0, 8), Attribute("b", 4, 0, 4), Attribute("c", 3, 0, 3)))
+    net = bayes.network(r, 1e4, 4.0, "s", rows=4000.0)
+    assert sorted(x for x, _ in net) == [0, 1, 2]
+    child = next(p for x, p in net[1:] if x in (0, 1) and {i for i, _ in p} & {0, 1})
+    assert child
+    found = list(bayes.maximal_parents(r.attributes, [0, 1], 4))
+    assert set(found) == {((0, 1),), ((0, 2), (1, 1)), ((1, 0),)}
+    out = bayes.synthesize(r, net, bayes.noisy_tables(r, net, 1e6, "t"), 2000, "u")
+    assert out.where("b1 = b0 div 2").count() >= 1990
+    assert bayes.naive(r.attributes, 1) == [(1, ()), (0, ((1, 0),)), (2, ((1, 0),))]
+    p = Protected.over(r, 2, seed="t")
+    assert len(algorithms.bayes_least_squares(p, 1)) == 96
+    assert p.spent == 1
 
 
 def test_inference():
@@ -160,5 +384,38 @@ def test_inference():
     assert np.allclose(inference.conjugate_gradients(lambda v: a @ v, lambda v: a.T @ v, y, 3), want)
     assert np.allclose(inference.nonnegative([(np.eye(3), np.array([1, -2, 3.0]), 1.0)]), [1, 0, 3])
     assert np.isclose(inference.multiplicative_weights([(a, y, 1.0)], 4.0).sum(), 4)
+    assert np.allclose(inference.workload_nonnegative(w.Identity(3), [(np.eye(3), np.array([1, -2, 3.0]), 1.0)]), [1, 0, 3])
+    assert np.isclose(inference.root_mean_error(a, np.eye(3), 1.0) ** 2 * 2, inference.expected_error(a, np.eye(3), 1.0))
+    assert inference.squared_error(a, np.ones(3), np.zeros(3)) == 8
+    assert inference.average_error(a, np.ones(3), [np.zeros(3), np.zeros(3)]) == (4.0, 0.0)
+    damped = inference.least_squares([(np.eye(2), np.array([2.0, 4]), 1.0)], l2=1.0)
+    assert np.allclose(damped, [1, 2])
     per = inference.per_query_error(a, np.eye(3), 1.0)
     assert np.isclose(per.sum(), inference.expected_error(a, np.eye(3), 1.0))
+
+
+@pytest.mark.parametrize("m", MATRICES, ids=lambda m: type(m).__name__)
+def test_matrices_survive_json(m):
+    back = service.decode(json.loads(json.dumps(service.encode(m))))
+    if not isinstance(m, w.Union | w.Kronecker) or type(back) is type(m):
+        assert np.allclose(back.numpy(), m.numpy())
+    assert service.fingerprint(m) == service.fingerprint(back)
+
+
+def test_service(spark):
+    r = Relation(spark.createDataFrame([(i,) for i, v in enumerate(X) for _ in range(int(v))], "a int"), (Attribute("a", 8, 0, 8),))
+    s = service.Service(Protected.over(r, 1000, seed="t"))
+    ask = lambda node, op, **a: json.loads(s.answer(json.dumps({"node": node, "op": op, **service.encode_all(a)})))
+    x = ask(ask(s.root, "where", text="a >= 2")["node"], "vectorize")
+    assert x["cells"] == 8
+    got = ask(x["node"], "laplace", matrix=w.Prefix(8), eps="400")["value"]
+    assert np.allclose(got, np.cumsum(np.where(np.arange(8) < 2, 0, X)), atol=1)
+    halves = ask(x["node"], "split_by_partition", part=[0] * 4 + [1] * 4)["nodes"]
+    assert [round(ask(h, "laplace", matrix=w.Total(4), eps="200")["value"][0]) for h in halves] == [6, 13]
+    assert ask(x["node"], "laplace", matrix=w.Total(8), eps="401")["error"] == "budget"
+    assert len(ask(x["node"], "ahp_partition", eps="100")["value"]) == 8
+    assert len(ask(x["node"], "dawa_partition", eps="100")["value"]) == 8
+    assert len(ask(x["node"], "plan", name="h2", eps="100")["value"]) == 8
+    assert ask(x["node"], "plan", name="measured_by", eps="1")["error"] == "ValueError"
+    assert ask("nobody", "laplace")["error"] == "KeyError"
+    assert ask(x["node"], "laplace", matrix={"matrix": "eval"}, eps=1)["error"] == "ValueError"
