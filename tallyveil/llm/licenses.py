@@ -7,8 +7,8 @@ and a template of b can reach it only if t / (2 - t) <= a / b <= (2 - t) / t. Be
 word: a template's anchors touch so many of its bigrams that a unit without any of them cannot share enough.
 
 Defined cases: a null or empty text matches nothing; a unit of fewer than two words has no bigrams; of equal scores the
-first template by name wins; equal rows give equal rows; texts of any length are whole. Of passages that overlap, the one
-that shares most bigrams with its template stays.
+first template by name wins; equal rows give equal rows; texts of any length are whole; an empty table gives an empty result;
+other columns do not matter. Of passages that overlap, the one that shares most bigrams with its template stays.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm.shared import documents
+from tallyveil.llm.shared import ascii_lower, documents, stored
 
 THRESHOLD = 0.8
 
-#: Licence notices as their authors recommend them.
+#: Licence notices as their authors recommend them, and under /short one line that names the licence, as files
+#: and pages often do; the latter are no author's words.
 TEMPLATES = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "0BSD/short": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
@@ -112,33 +113,49 @@ def _has_anchor(text: Column, own: Index) -> Column:
     return out
 
 
+def anchored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, row and low, the ASCII-lower-cased text, of the documents with an anchor word. No anchor has a letter that only
+    full lower-casing gives, so the cheaper one finds them."""
+    own = index(threshold)
+    held = docs.where("text is not null").select("doc_id", "text", _once(F.lower("text"), "all_low")).where(_has_anchor(F.col("all_low"), own))
+    return held.select("doc_id", F.monotonically_increasing_id().alias("row"), ascii_lower(F.col("text")).alias("low"))
+
+
+def _words() -> Column:
+    return F.regexp_extract_all("words", F.lit(WORDS), F.lit(0))
+
+
+def _bigrams(w: str) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _every(own: Index) -> list[str]:
+    return sorted({g for _, grams in own.templates for g in grams})
+
+
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, licence, dice) of every unit that reaches the threshold with its best template.
+    """(doc_id, unit, licence, dice) of every unit that reaches the threshold with its best template. docs: as anchored() gives.
 
-    unit: the line's number from 0, or -1 for the whole text.
+    unit: the line's number from 0, or -1 for the whole text. A unit of a bigrams that reaches t with a template of b shares
+    at least t (a + b) / 2 of them, and b is at least a t / (2 - t): so that share of its own bigrams are a template's.
     """
     own = index(threshold)
-    low = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), _once(F.lower("text"), "low"))
-    low = low.where(_has_anchor(F.col("low"), own))
+    share = threshold / (2 - threshold)
     lines = F.split("low", "\n")
     # a text of one line is its line
-    units = low.select("doc_id", "row", F.explode(F.concat(F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.col("low").alias("words")))).otherwise(F.array()), F.transform(lines, lambda s, i: F.struct(i.alias("unit"), s.alias("words"))))).alias("u"))
+    units = docs.select("doc_id", "row", F.explode(F.concat(F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.col("low").alias("words")))).otherwise(F.array()), F.transform(lines, lambda s, i: F.struct(i.alias("unit"), s.alias("words"))))).alias("u"))
     # each bigram takes at least four characters of its unit, whatever repeats
     units = units.select("doc_id", "row", "u.unit", "u.words").where(_has_anchor(F.col("words"), own) & (F.length("words") >= 3 * own.least))
-    words = F.regexp_extract_all("words", F.lit(WORDS), F.lit(0))
-    units = units.select("doc_id", "row", "unit", words.alias("w"))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
-    units = units.where(F.size("w") > own.least).select("doc_id", "row", "unit", pairs.alias("b")).where(F.size("b").between(own.least, own.most))
-    share = threshold / (2 - threshold)
-    scored = []
-    for name, grams in own.templates:
-        n = len(grams)
-        fits = (F.size("b") >= share * n) & (F.size("b") <= n / share)
-        dice = 2 * F.size(F.array_intersect("b", F.array(*map(F.lit, grams)))) / (F.size("b") + n)
-        scored.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("licence"))))
-    order = lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["licence"] < b["licence"], -1).otherwise(1)
-    best = F.get(F.array_sort(F.array_compact(F.array(*scored)), order), F.lit(0))
-    return units.select("doc_id", "row", "unit", best.alias("best")).where(F.col("best.dice") >= threshold).select("doc_id", "row", "unit", "best.licence", "best.dice")
+    units = units.select("doc_id", "row", "unit", _once(_words(), "w")).where(F.size("w") > own.least)
+    units = units.select("doc_id", "row", "unit", _once(F.array_distinct(_bigrams("w")), "b")).where(F.size("b").between(own.least, own.most))
+    every = _every(own)
+    units = units.select("doc_id", "row", "unit", F.size("b").alias("a"), _once(F.filter("b", lambda g: g.isin(every)), "hits")).where(F.size("hits") >= share * F.col("a") - 1e-9)
+    known = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in own.templates])
+    fits = F.filter(known, lambda t: (F.col("a") >= share * t["n"]) & (F.col("a") <= t["n"] / share))
+    # the largest by score, then the first by name: templates are in the order of their names
+    score = F.transform(fits, lambda t, i: F.struct((2 * F.size(F.array_intersect("hits", t["grams"])) / (F.col("a") + t["n"])).alias("dice"), (-i).alias("order"), t["licence"].alias("licence")))
+    units = units.select("doc_id", "row", "unit", _once(F.array_max(score), "best")).where(F.col("best.dice") >= threshold)
+    return units.select("doc_id", "row", "unit", "best.licence", "best.dice")
 
 
 def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,6 +163,7 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Of one template, the best passages begin and end with runs of its bigrams, for a run's next bigram only adds to the
     score. So each two runs that are near enough are compared. What the line or text as a whole reaches is not repeated.
+    docs: as anchored() gives.
     """
     own = index(threshold)
     share = threshold / (2 - threshold)
@@ -154,14 +172,11 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         n = len(grams)
         values = {"licence": F.lit(name), "n": F.lit(n), "need": F.lit(math.ceil(share * n - 1e-9)), "most": F.lit(int(max(n, len(words_of(TEMPLATES[name]))) / share) + 1), "grams": F.array(*map(F.lit, grams))}
         known.append(F.struct(*(v.alias(k) for k, v in values.items())))
-    every = sorted({g for _, grams in own.templates for g in grams})
+    every = _every(own)
     least = math.ceil(share * min(len(grams) for _, grams in own.templates) - 1e-9)
-    texts = docs.where("text is not null").select("doc_id", _once(F.lower("text"), "low")).where(_has_anchor(F.col("low"), own))
-    texts = texts.select("doc_id", _once(F.regexp_extract_all("low", F.lit(f"{WORDS}|\n"), F.lit(0)), "tokens"))
-    words = F.filter("tokens", lambda x: x != "\n")
-    texts = texts.select("doc_id", "tokens", _once(words, "w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
-    texts = texts.select("doc_id", "tokens", _once(pairs, "b"))
+    texts = docs.select("doc_id", _once(F.regexp_extract_all("low", F.lit(f"{WORDS}|\n"), F.lit(0)), "tokens"))
+    texts = texts.select("doc_id", "tokens", _once(F.filter("tokens", lambda x: x != "\n"), "w"))
+    texts = texts.select("doc_id", "tokens", _once(_bigrams("w"), "b"))
     hits = F.filter(F.transform("b", lambda g, i: F.when(g.isin(every), F.struct(i.alias("at"), g.alias("gram")))), lambda x: x.isNotNull())
     texts = texts.select("doc_id", "tokens", "b", _once(hits, "hits")).where(F.size("hits") >= least)
     likely = F.filter(F.array(*known), lambda t: F.size(F.array_intersect(t["grams"], F.col("hits.gram"))) >= t["need"])
@@ -205,7 +220,7 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, last, licence, dice) of lines and texts as a whole, where last is unit, and of passages."""
-    docs = docs.select("doc_id", "text")
+    docs = stored(anchored(docs.select("doc_id", "text"), threshold), "anchored")
     whole = matches(docs, threshold).select("doc_id", "unit", F.col("unit").alias("last"), "licence", "dice")
     return whole.unionByName(passages(docs, threshold))
 

@@ -224,8 +224,15 @@ def test_licences_equal_brute_force(spark, edge_docs):
             best = max(((2 * len(b & t) / (len(b) + len(t)), n) for n, t in ((n, licenses.bigrams(v)) for n, v in sorted(licenses.TEMPLATES.items(), reverse=True))), key=lambda s: s[0])
             if best[0] >= licenses.THRESHOLD:
                 want.add((r["doc_id"], k, round(best[0], 6)))
-    assert {(r["doc_id"], r["unit"], round(r["dice"], 6)) for r in licenses.matches(docs).collect()} == want
-    assert licenses.matches(edge_docs).count() == 0
+    assert {(r["doc_id"], r["unit"], round(r["dice"], 6)) for r in licenses.matches(licenses.anchored(docs)).collect()} == want
+    assert licenses.matches(licenses.anchored(edge_docs)).count() == 0
+    # every template of many words, on one line, wins with its own name; a text of several lines also as a whole
+    lines = [(k, t + "\n" * (k % 2) + "x" * (k % 2)) for k, (_, t) in enumerate(sorted(licenses.TEMPLATES.items()))]
+    got = {(r["doc_id"], r["unit"]): r["licence"] for r in licenses.matches(licenses.anchored(spark.createDataFrame(lines, "doc_id int, text string"))).collect()}
+    assert all(got[k, 0] == n for k, n in enumerate(sorted(licenses.TEMPLATES)))
+    plan = licenses.matches(licenses.anchored(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2
+    assert plan.count("array_intersect") <= 2
 
 
 def test_licences_in_passages(spark, edge_docs):
