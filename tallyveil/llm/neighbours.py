@@ -5,6 +5,9 @@ in which parts a vector's neighbours lie. Every row is indexed under its most pr
 probable parts, and is scored against every row of them exactly, in double precision.
 
 A part's rows and queries are dealt in blocks of bounded size, so that a part holding a third of all rows is many tasks.
+Queries whose parts hold fewer rows than are asked for are scored against all parts, so that none gets fewer than there are.
+The number of parts grows with the rows up to MAX_PARTS, beyond which the rows scored for a query grow with the table: the
+sample bounds how many parts can be learned.
 The model is fitted on at most SAMPLE vectors (smallest hashes of their ids); only the model and the parts' counts are on
 the driver.
 
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyveil.llm.shared import stored
+
 SAMPLE = 12_000
 NEIGHBOURS = 20
 #: Rows a part aims at, and the most parts.
-PART_ROWS, MAX_PARTS = 600, 64
+PART_ROWS, MAX_PARTS = 600, 512
 #: The fewest bisections tried, and the rows that merging one part's answers counts as, when the number of parts is chosen.
 FEWEST_LEVELS, MERGE_COST = 4, 1000
 #: The recall that the number of visited parts is chosen for, on sample vectors that the model has not seen.
@@ -194,10 +199,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
     router = fit(rows, rows.count(), sample)
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_parts = len(router.bias)
     index = _routed(rows, router, 1).select("vec_id", "embedding", F.col("parts")[0].alias("part"))
-    routed = _routed(asked, router, min(router.visited, len(router.bias))).select("vec_id", "embedding", F.explode("parts").alias("part"))
     # as many counts as there are parts
     n_rows = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    routed = _routed(asked, router, n_parts)
+    visited = min(router.visited, n_parts)
+    found = stored(_scored(index, n_rows, _visiting(routed, visited), len(router.weights), k), "found")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    if visited < n_parts:
+        # a query may be a candidate itself, or several, so all that are short of k rows are asked again
+        enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        short = routed.join(enough, routed["vec_id"] == enough["query_id"], "left_anti")
+        if short.limit(1).count():
+            further = _scored(index, n_rows, _visiting(short, n_parts), len(router.weights), k)
+            found = found.join(enough, "query_id", "left_semi").unionByName(further)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _visiting(routed: DataFrame, n: int) -> DataFrame:
+    return routed.select("vec_id", "embedding", F.explode(F.slice("parts", 1, n)).alias("part"))
+
+
+def _scored(index: DataFrame, n_rows: dict[int, int], routed: DataFrame, dim: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each query, the k nearest rows in each block of each part that it visits."""
+    spark = index.sparkSession
     n_asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
     blocks = [(p, -(-n // BLOCK_ROWS), max(1, -(-n_asked.get(p, 0) // BLOCK_QUERIES))) for p, n in n_rows.items()]
     table = F.broadcast(spark.createDataFrame(blocks, "part int, row_blocks int, query_blocks int"))
@@ -206,7 +232,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
     left = routed.join(table, "part").withColumn("query_block", mine("query_blocks")).withColumn("row_block", every("row_blocks"))
     right = index.join(table, "part").withColumn("row_block", mine("row_blocks")).withColumn("query_block", every("query_blocks"))
     key, columns = ["part", "row_block", "query_block"], ["part", "row_block", "query_block", "vec_id", "embedding"]
-    dim = len(router.weights)
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return t.column("vec_id").to_numpy(), t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -215,9 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
         found = nearest_in_block(*matrix(q), *matrix(x), k) if q.num_rows and x.num_rows else ([], [], [])
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    found = left.select(columns).groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.select(columns).groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")
 
 
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

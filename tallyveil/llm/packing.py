@@ -2,13 +2,13 @@
 
 Sizes are integers up to the capacity, so a corpus of any size is a histogram of at most `capacity` counts, and only that
 reaches the driver. There a branch and bound over the histogram takes the largest size left, enumerates the undominated
-fillings of the rest of its sequence, least waste first, applies one as often as the counts allow or once, and prunes by
-waste and by lower bound. The best-fit-decreasing packing of what is left is tried at every node as the incumbent; the
-search ends at the lower bound or after `nodes` nodes, with the best packing found. The answer is a list of patterns with
-repeat counts, which places every piece by its rank among the pieces of its length.
+fillings of the rest of its sequence one after the other, least waste first and none left out, applies one as often as the
+counts allow or once, and prunes by waste and by lower bound. The best-fit-decreasing packing of what is left is tried at
+every node as the incumbent; the search ends at the lower bound or after `nodes` nodes, with the best packing found. The
+answer is a list of patterns with repeat counts, which places every piece by its rank among the pieces of its length.
 
 Defined cases: a null or empty text is one piece holding the end id alone; equal rows are placed each on its own; an empty
-table packs into nothing.
+table packs into nothing; texts of any length are cut whole; other columns of docs do not matter.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from tallyveil.llm.shared import documents, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: The search's nodes, the fillings it weighs at each, and at which depths it tries best fit for the rest.
-NODES, FILLINGS, TRY_EVERY = 4000, 12, 16
-#: Salts that ranking within one length is dealt over.
-RANK_BUCKETS = 64
+#: The search's nodes, and at which depths it tries best fit for the rest.
+NODES, TRY_EVERY = 4000, 16
+#: Pieces of one length that one task ranks, about.
+RANK_ROWS = 200_000
 #: Fixed values of the vocabulary: its special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many), largest size first
+TASK = "task"
 PIECES = "doc_id id, piece int, start long, length long, ids_crc32 long"
 
 
@@ -83,56 +84,65 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int = FILLINGS) -> list[tuple[Pattern, int]]:
-    """Undominated fillings of a room with at most this waste: (pattern, waste), least waste first, `limit` at most.
+def fillings(counts: dict[int, int], room: int, waste: int) -> Iterator[tuple[Pattern, int]]:
+    """Every undominated filling of a room with at most this waste, as (pattern, waste), least waste first, found as asked for.
 
-    A filling is dominated where one free item can replace one or two of its items and uses more of the room.
+    A filling is dominated where a free item fits its waste, or can replace one or two of its items and uses more of the
+    room. Bit sets of the sums that the smaller sizes reach leave no choice that leads nowhere.
     """
     if counts.get(room):
-        return [(((room, 1),), 0)]  # one item that fills the room dominates all else
+        yield ((room, 1),), 0  # one item that fills the room dominates all else
+        return
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    if not sizes:
-        return [((), room)] if room <= waste else []
-    floor = sizes[-1]
-    found: list[tuple[Pattern, int]] = []
-    steps = 40 * limit
-    sizes_up = sizes[::-1]
+    whole = (1 << (room + 1)) - 1
+    reach = [1]  # reach[k]: bit t is set where the sizes from the k-th on have a sum of t
+    for s in reversed(sizes):
+        bits, left, step = reach[0], min(counts[s], room // s), 1
+        while left:
+            take = min(step, left)
+            bits |= bits << (take * s) & whole
+            left, step = left - take, 2 * step
+        reach.insert(0, bits)
     on_hand = sum(1 << s for s, n in counts.items() if n)  # bit s: some item of size s
 
-    def dominated(items: list[int], slack: int) -> bool:
+    def dominated(pattern: Pattern, slack: int) -> bool:
         free, more, as_much = on_hand, (1 << slack) - 1, (2 << slack) - 1
-        for s, k in Counter(items).items():
+        for s, k in pattern:
             if counts[s] == k:
                 free &= ~(1 << s)
-        for i, a in enumerate(items):
-            if free >> (a + 1) & more or any(free >> (a + b) & as_much for b in items[i + 1 :]):
+        if free & as_much & ~1:
+            return True
+        for i, (a, k) in enumerate(pattern):
+            if free >> (a + 1) & more or k > 1 and free >> (2 * a) & as_much or any(free >> (a + b) & as_much for b, _ in pattern[i + 1 :]):
                 return True
         return False
 
-    def extend(at: int, left: int, items: list[int]) -> None:
-        nonlocal steps
-        steps -= 1
-        if steps < 0 or len(found) >= 4 * limit:
-            return
-        fits = False
-        for k in range(max(at, len(sizes) - bisect_right(sizes_up, left)), len(sizes)):
-            s = sizes[k]
-            if items.count(s) >= counts[s]:
+    for slack in range(min(waste, room) + 1):
+        if not reach[0] >> (room - slack) & 1:
+            continue
+        # depth first, most of the largest size first: (next size, what is left, what is chosen)
+        open_: list[tuple[int, int, Pattern]] = [(0, room - slack, ())]
+        while open_:
+            k, left, chosen = open_.pop()
+            if not left:
+                if not dominated(chosen, slack):
+                    yield chosen, slack
                 continue
-            fits = True
-            extend(k, left - s, [*items, s])
-            if steps < 0:
-                return
-        if (not fits or left < floor) and left <= waste and not dominated(items, left):
-            found.append((tuple(sorted(Counter(items).items(), reverse=True)), left))
-
-    extend(0, room, [])
-    return sorted(set(found), key=lambda x: (x[1], [-s for s, _ in x[0]]))[:limit]
+            # sizes that are too large, or that what is left can do without, are passed over in one go
+            for j in range(min(counts[sizes[k]], left // sizes[k]) + 1):
+                rest = left - j * sizes[k]
+                if reach[k + 1] >> rest & 1:
+                    open_.append((k + 1, rest, (*chosen, (sizes[k], j)) if j else chosen))
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """A packing of the histogram as (pattern, repeats); optimal where the search ends before its node budget
-    and fillings() was cut at no node: it stops at 40 * FILLINGS steps or 4 * FILLINGS found, and keeps FILLINGS."""
+    """A packing of the histogram as (pattern, repeats); see search_packing."""
+    return search_packing(counts, capacity, nodes)[0]
+
+
+def search_packing(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Pattern, int]], bool]:
+    """A packing of the histogram, and whether it is known to use the fewest bins: it meets the lower bound, or the search
+    ended before its node budget, for no filling is left out."""
     counts = {s: n for s, n in counts.items() if n}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("sizes must lie between 1 and the capacity")
@@ -144,7 +154,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     def search(rest: dict[int, int], chosen: list[tuple[Pattern, int]], used: int, volume: int) -> None:
         nonlocal best, left
         left -= 1
-        if bins(best) <= floor or used - (-volume // capacity) >= bins(best):
+        if left < 0 or bins(best) <= floor or used - (-volume // capacity) >= bins(best):
             return
         if not rest or len(chosen) % TRY_EVERY == 0:
             tried = [*chosen, *best_fit(rest, capacity)]
@@ -172,7 +182,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         search(counts, [], 0, total)
     finally:
         sys.setrecursionlimit(depth)
-    return best
+    return best, left >= 0 or bins(best) <= floor
 
 
 def token_ids(own: Codec, texts: list[str]) -> list[bytes]:
@@ -208,7 +218,8 @@ def place(parts: DataFrame, packing: list[tuple[Pattern, int]]) -> DataFrame:
     """parts with sequence_id and offset. parts is read twice and must come from a stored table.
 
     The places of a length are a run of ranks for each pattern that uses it: a table whose size depends on the capacity
-    alone. Ranks within a length are dealt over salts, so a common length is no single task's work.
+    alone. Ranks within a length are dealt over salts, so a common length is no single task's work; their table has a row
+    for about each RANK_ROWS pieces and each length.
     """
     spark, runs, used, first = parts.sparkSession, [], Counter(), 0
     for pattern, repeats in packing:
@@ -219,7 +230,10 @@ def place(parts: DataFrame, packing: list[tuple[Pattern, int]]) -> DataFrame:
             offset += k * size
         first += repeats
     table = spark.createDataFrame(runs, "length long, low long, high long, each int, first long, at long")
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
+    # as many salts for a length as its pieces need; equal pieces of different tasks have different ones
+    n_salts = spark.createDataFrame([(size, 1 + n // RANK_ROWS) for size, n in used.items()], "length long, n_salts long")
+    tie = F.xxhash64("doc_id", "piece", "start", "ids_crc32", TASK)
+    salted = parts.join(F.broadcast(n_salts), "length").withColumn("salt", F.pmod(tie, F.col("n_salts")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     totals = salted.groupBy("length", "salt").count()
     bases = totals.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -229,12 +243,12 @@ def place(parts: DataFrame, packing: list[tuple[Pattern, int]]) -> DataFrame:
     placed = ranked.join(run, (ranked.length == run.length) & (ranked["rank"] >= run.low) & (ranked["rank"] < run.high)).drop(run.length)
     step = F.col("rank") - F.col("low")
     spot = F.expr("first + (rank - low) div each").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).alias("offset")
-    return placed.select(*[F.col(c) for c in parts.columns], *spot)
+    return placed.select(*[F.col(c) for c in parts.columns if c != TASK], *spot)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, rank_file: str | None = None) -> DataFrame:
     """Each piece of each document with its sequence and its place there; the ids are in pieces(with_ids=True)."""
-    parts = stored(pieces(docs, rank_file=rank_file), "pieces")
+    parts = stored(pieces(docs, rank_file=rank_file).withColumn(TASK, F.spark_partition_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     return place(parts, bin_completion(histogram, capacity))
 
