@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyveil.llm.shared import checkpointed, documents, private_name, stored
+from tallyveil.llm.shared import checkpointed, documents, forget_since, mark, private_name, stored
 
 WORDS = 5
 BATCH_BYTES = 1_000_000
@@ -444,12 +444,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label around a node, then the label of that label.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    point = mark()
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         step = labels.join(near, "node").select("node", F.least("component", "least").alias("next"), "component")
         far = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
         moved = checkpointed(step.join(far, "next").select("node", F.least("next", "jump").alias("next"), "component"))
+        forget_since(edges.sparkSession, point, keep=1)
         changed = moved.where("next <> component").limit(1).count()
         labels = moved.select("node", F.col("next").alias("component"))
         if not changed:

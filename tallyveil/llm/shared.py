@@ -29,14 +29,34 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyveil/{uuid.uuid4().hex}/{name}"
 
 
+#: Folders of the tables written by this process that have not been forgotten, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for forget_since."""
+    return len(_written)
+
+
+def forget_since(spark: SparkSession, point: int, keep: int = 0) -> None:
+    """Deletes the tables written since, but for the last `keep`. Nothing may read them any more: a frame is computed when it
+    is asked for, so only what has been written, or collected, since is safe."""
+    done = _written[point : len(_written) - keep]
+    del _written[point : len(_written) - keep]
+    for path in done:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A step of a loop as a written table. checkpoint() would keep the size estimate of the plan it cuts: each self-join
     multiplies it, until the estimate itself is a number of hundreds of MB on the driver."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import textwrap
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tallyveil.llm import bpe, chat, jaccard, licenses, linededup, neighbours, packing, pii, quality, sharding
+from tallyveil.llm import bpe, chat, jaccard, licenses, linededup, neighbours, packing, pii, quality, sharding, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -584,6 +585,16 @@ def test_one_of_each(spark, edge_docs, no_docs):
     assert sum(n for (_, t), n in edge.items() if not t.strip()) == 4
 
 
+def test_forgotten_tables_are_gone(spark):
+    kept = shared.stored(spark.range(3), "kept")
+    point = shared.mark()
+    gone, last = shared.stored(spark.range(4), "gone"), shared.stored(spark.range(5), "last")
+    folders = [f.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] for f in (kept, gone, last)]
+    shared.forget_since(spark, point, keep=1)
+    assert [os.path.exists(f) for f in folders] == [True, False, True]
+    assert (kept.count(), last.count()) == (3, 5)
+
+
 def test_pipeline_on_edge_cases_and_nothing(spark, edge_docs, no_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     good = [(50 + k, " ".join(f"w{j}" for j in range(80 + k)), "x", 1, 2) for k in range(2)] + [(None, " ".join(f"v{j}" for j in range(90)), None, None, None)] * 2
