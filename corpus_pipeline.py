@@ -2,6 +2,10 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read as the next one's docs. All but
 the last return the columns of docs; where a stage changes texts, n_chars follows.
+
+Defined cases, for every stage: a null text counts as an empty one and stays null (quality rules reject it); equal rows are
+judged alike, and the near-duplicate stage keeps one of them; rows of a null id are documents; texts of any length are whole;
+columns besides doc_id and text pass through under any name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.llm import jaccard, linededup, packing, pii, quality
-from tallyveil.llm.shared import documents, stored
+from tallyveil.llm.shared import documents, forget_since, mark, stored
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -62,7 +66,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
+        point = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage_{k}")
+            # what the stage wrote on its way is read by nothing that is left
+            forget_since(spark, point, keep=1)
     return docs
