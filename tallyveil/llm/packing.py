@@ -30,8 +30,8 @@ CAPACITY = 1024
 END_ID = 2
 #: The search's nodes, and at which depths it tries best fit for the rest.
 NODES, TRY_EVERY = 4000, 16
-#: Pieces of one length that one task ranks, about.
-RANK_ROWS = 200_000
+#: Pieces of one length that one task ranks, about: so many, or this share of all pieces where that is less.
+RANK_ROWS, RANK_SHARE = 200_000, 512
 #: Fixed values of the vocabulary: its special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -219,7 +219,7 @@ def place(parts: DataFrame, packing: list[tuple[Pattern, int]]) -> DataFrame:
 
     The places of a length are a run of ranks for each pattern that uses it: a table whose size depends on the capacity
     alone. Ranks within a length are dealt over salts, so a common length is no single task's work; their table has a row
-    for about each RANK_ROWS pieces and each length.
+    for about each RANK_ROWS pieces, RANK_SHARE and one for each length.
     """
     spark, runs, used, first = parts.sparkSession, [], Counter(), 0
     for pattern, repeats in packing:
@@ -231,7 +231,8 @@ def place(parts: DataFrame, packing: list[tuple[Pattern, int]]) -> DataFrame:
         first += repeats
     table = spark.createDataFrame(runs, "length long, low long, high long, each int, first long, at long")
     # as many salts for a length as its pieces need; equal pieces of different tasks have different ones
-    n_salts = spark.createDataFrame([(size, 1 + n // RANK_ROWS) for size, n in used.items()], "length long, n_salts long")
+    each_task = max(1, min(RANK_ROWS, sum(used.values()) // RANK_SHARE))
+    n_salts = spark.createDataFrame([(size, 1 + n // each_task) for size, n in used.items()], "length long, n_salts long")
     tie = F.xxhash64("doc_id", "piece", "start", "ids_crc32", TASK)
     salted = parts.join(F.broadcast(n_salts), "length").withColumn("salt", F.pmod(tie, F.col("n_salts")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
