@@ -528,6 +528,11 @@ def _by_set(members: DataFrame, table: DataFrame, many: DataFrame, key: str, how
     return members.join(known, (F.col("set") == F.col(key)) & (F.col("salt") == F.col("k_salt")), how).drop("k_salt")
 
 
+def _by_star(members: DataFrame, every: DataFrame, table: DataFrame) -> DataFrame:
+    """members joined with the rows of table, one a star, part by part. every: rows with the parts of each star."""
+    return members.join(every.select("star", "part").distinct().join(table, "star"), ["star", "part"])
+
+
 def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation: Allocation | None = None) -> DataFrame:
     """(node, component) over the set hashes that link with another."""
     sets = summary.where("row is not null and n_shingles > 0")
@@ -537,22 +542,25 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     holders = sets.groupBy("set_hash").agg(F.min("row").alias("row")).join(wanted, "set_hash")
     test = Verifier(docs, checkpointed(holders), n, n_rows == n_own)
-    # a star's centre is its first pivot
-    centres = pairs.groupBy(F.col("a").alias("star")).count().where("count > 1").select("star")
-    members = pairs.join(centres, F.col("a") == F.col("star"), "left_semi").select(F.col("a").alias("star"), F.col("b").alias("set"))
+    # a star's centre is its first pivot; a star of any size is dealt over parts, of which it has at most that many
+    part = F.pmod(F.xxhash64("set"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int")
+    members = pairs.select(F.col("a").alias("star"), F.col("b").alias("set")).withColumn("part", part)
+    held = checkpointed(members.groupBy("star", "part").count())
+    centres = held.groupBy("star").agg(F.sum("count").alias("n")).where("n > 1").select("star")
+    members = members.join(held.join(centres, "star").select("star", "part"), ["star", "part"], "left_semi")
     many = checkpointed(members.groupBy(F.col("set").alias("many_set")).count().where(F.col("count") >= MANY_STARS).select("many_set"))
-    members = members.join(many, F.col("set") == F.col("many_set"), "left").select("star", "set", F.when(F.col("many_set").isNull(), 0).otherwise(F.pmod(F.xxhash64("star"), F.lit(SALTS))).cast("int").alias("salt"))
-    # a centre is a member of its own star, under any salt
-    members = members.unionByName(centres.join(many, F.col("star") == F.col("many_set"), "left").select("star", F.col("star").alias("set"), F.when(F.col("many_set").isNull(), 0).otherwise(F.pmod(F.xxhash64("star"), F.lit(SALTS))).cast("int").alias("salt")))
+    own = centres.select("star", F.col("star").alias("set")).withColumn("part", part)
+    salt = F.when(F.col("many_set").isNull(), 0).otherwise(F.pmod(F.xxhash64("star"), F.lit(SALTS))).cast("int")
+    members = members.unionByName(own).join(many, F.col("set") == F.col("many_set"), "left").select("star", "set", "part", salt.alias("salt"))
     members = checkpointed(_by_set(members, test.sketches.select("set_hash", "size"), many, "set_hash").drop("set_hash"))
     used = centres.select("star", F.col("star").alias("set"))
     tested, edges, at_once = pairs, checkpointed(test.linked(pairs)), FIRST
     labels = components(edges)
     while True:
-        told = _by_set(members, labels, many, "node", "left").select("star", "set", "salt", "size", F.coalesce("component", "set").alias("component"))
+        told = checkpointed(_by_set(members, labels, many, "node", "left").select("star", "set", "part", "salt", "size", F.coalesce("component", "set").alias("component")))
         parts = told.groupBy("star", "component").agg(F.count("*").alias("n"))
         open_ = parts.groupBy("star").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")).where("parts > 1").select("star", "largest", "members")
-        told = checkpointed(told.join(open_, "star"))
+        told = checkpointed(_by_star(told, told, open_))
         rest = told.where("component <> largest").join(used, ["star", "set"], "left_anti")
         rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("star").orderBy("set"))).where(F.col("k") <= max(SMALL, at_once))
         rest = rest.where((F.col("members") <= SMALL) | (F.col("k") <= at_once))
@@ -566,7 +574,7 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation:
         if new.limit(1).count():
             edges = edges.unionByName(new)
             labels = components(edges)
-        members, at_once = told.select("star", "set", "salt", "size"), FASTER * at_once
+        members, at_once = told.select("star", "set", "part", "salt", "size"), FASTER * at_once
 
 
 def _in_small_stars(pivots: DataFrame, told: DataFrame) -> DataFrame:
@@ -584,7 +592,7 @@ def _in_large_stars(pivots: DataFrame, told: DataFrame, sketches: DataFrame, man
     own = pivots.where(large).withColumn("pivot_block", F.expr(f"cast((k - 1) div {PIVOT_BLOCK} as int)"))
     n_pivots = own.groupBy("star").agg((F.max("pivot_block") + 1).alias("pivot_blocks"))
     own = own.join(of_own, F.col("pivot") == F.col("bits_of")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    others = _by_set(told.where(large).join(n_pivots, "star"), of_other, many, "bits_of").withColumn("block", F.pmod(F.xxhash64("set").cast("long"), n_blocks).cast("int"))
+    others = _by_set(_by_star(told.where(large), told.where(large), n_pivots), of_other, many, "bits_of").withColumn("block", F.pmod(F.xxhash64("set").cast("long"), n_blocks).cast("int"))
     others = others.withColumn("pivot_block", F.explode(F.sequence(F.lit(0), F.col("pivot_blocks") - 1)))
     own = own.select(*keys, "pivot", "own", "own_size", "bitmap").groupBy(*keys)
     return own.cogroup(others.select(*keys, "set", "component", "size", "bitmap").groupBy(*keys)).applyInArrow(_near_pivots, "a long, b long")
