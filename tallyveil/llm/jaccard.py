@@ -54,7 +54,7 @@ CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
 #: Pivots a star gets in the first round after its centre, and how that grows. Stars no larger than SMALL get all at once.
 SMALL, FIRST, FASTER = 16, 4, 16
 #: Members and pivots of a larger star that one task compares at a time, and the log2 of a bitmap's bits.
-MEMBER_BLOCK, PIVOT_BLOCK, BITMAP = 2048, 512, 11
+MEMBER_BLOCK, PIVOT_BLOCK, BITMAP = 512, 512, 11
 #: Sets that the allocation and the shared keys are chosen from, as expected by their hashes; how many of them make a key a
 #: shared one; and the charge for a frequent entry, in entries. They change the cost and never the result.
 SAMPLE_SETS, SHARED, FREQUENT_COST = 4000, 8, 16
@@ -458,6 +458,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels of components() after further edges: only components that these join are walked again."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = checkpointed(labels.select("node", "component").unionByName(fresh))
+    for side in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of")), side)
+    between = checkpointed(edges.where("a_of <> b_of").select(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")).distinct())
+    if not between.limit(1).count():
+        return labels
+    moved = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    # a component of any size is dealt over parts
+    part = F.pmod(F.xxhash64("node"), F.lit(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = labels.withColumn("part", part)
+    known = dealt.select(F.col("component").alias("old"), "part").distinct().join(moved, "old")
+    told = dealt.join(known, (F.col("component") == F.col("old")) & (dealt["part"] == known["part"]), "left")
+    return checkpointed(told.select("node", F.coalesce("new", "component").alias("component")))
+
+
 class Verifier:
     """Tests pairs of set hashes. Sizes and histograms are kept for every candidate set; whole sets are rebuilt from the
     texts of those alone that a histogram leaves in question."""
@@ -554,8 +573,8 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation:
     members = members.unionByName(own).join(many, F.col("set") == F.col("many_set"), "left").select("star", "set", "part", salt.alias("salt"))
     members = checkpointed(_by_set(members, test.sketches.select("set_hash", "size"), many, "set_hash").drop("set_hash"))
     used = centres.select("star", F.col("star").alias("set"))
-    tested, edges, at_once = pairs, checkpointed(test.linked(pairs)), FIRST
-    labels = components(edges)
+    tested, at_once = pairs, FIRST
+    labels = components(checkpointed(test.linked(pairs)))
     while True:
         told = checkpointed(_by_set(members, labels, many, "node", "left").select("star", "set", "part", "salt", "size", F.coalesce("component", "set").alias("component")))
         parts = told.groupBy("star", "component").agg(F.count("*").alias("n"))
@@ -572,8 +591,7 @@ def linked_sets(docs: DataFrame, summary: DataFrame, n: int = WORDS, allocation:
         tested, used = tested.unionByName(pairs), used.unionByName(pivots.select("star", F.col("pivot").alias("set")))
         new = checkpointed(test.linked(pairs, sized=True))
         if new.limit(1).count():
-            edges = edges.unionByName(new)
-            labels = components(edges)
+            labels = merged(labels, new)
         members, at_once = told.select("star", "set", "part", "salt", "size"), FASTER * at_once
 
 

@@ -529,6 +529,17 @@ def test_similar_sets_meet_under_every_allocation():
     assert deletions > 1000
 
 
+def test_components_after_further_edges(spark):
+    rng = random.Random(1)
+    every = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = jaccard.components(frame(every[:25]))
+    for at in range(25, 60, 12):
+        labels = jaccard.merged(labels, frame(every[at : at + 12]))
+    want = {tuple(r) for r in jaccard.components(frame(every)).collect()}
+    assert {(r["node"], r["component"]) for r in labels.collect()} == want
+
+
 @pytest.mark.parametrize("eighths", [0, 4, 8, None])
 def test_jaccard_join(spark, edge_docs, no_docs, eighths, monkeypatch):
     """Under fixed allocations and the chosen one, with centres of shared keys fixed early."""
