@@ -45,12 +45,12 @@ from pyspark.sql import functions as F
 from tallyveil.llm.shared import checkpointed, documents, forget_since, mark, private_name, stored
 
 WORDS = 5
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 400_000
 #: Sizes below SINGLE form one band whose segments are single shingles; above, bands grow by WIDEN.
 SINGLE, WIDEN = 64, 4
 #: A shingle is frequent if chunks of CHUNK shingles that hold it OFTEN times or more sum up to HOT; at most MOST_HOT are kept.
 #: Which shingles these are changes the cost and never the result.
-CHUNK, OFTEN, HOT, MOST_HOT = 1_000_000, 2, 8, 500_000
+CHUNK, OFTEN, HOT, MOST_HOT = 500_000, 2, 8, 500_000
 #: Pivots a star gets in the first round after its centre, and how that grows. Stars no larger than SMALL get all at once.
 SMALL, FIRST, FASTER = 16, 4, 16
 #: Members and pivots of a larger star that one task compares at a time, and the log2 of a bitmap's bits.
@@ -62,8 +62,10 @@ SAMPLE_SETS, SHARED, FREQUENT_COST = 4000, 8, 16
 EIGHTHS = 8
 #: Stars from which a set's rows are dealt over SALTS when joined by set.
 MANY_STARS, SALTS = 256, 16
+#: Entries that a task gathers before it sends them: some ten times their 16 bytes are in use meanwhile.
+SENT_ENTRIES = 250_000
 #: Index bytes a bucket aims at, and rows up to which a side is broadcast.
-BUCKET_BYTES, BROADCAST_ROWS = 12_000_000, 400_000
+BUCKET_BYTES, BROADCAST_ROWS = 6_000_000, 400_000
 
 _U = np.uint64
 #: Odd constants for hashing; any would do.
@@ -86,7 +88,7 @@ class Shingler:
 
     def _grow(self, size: int) -> None:
         if len(self.power) <= size:
-            steps = np.full(max(size + 1, 1 << 20), _BASE, np.uint64)
+            steps = np.full(max(size + 1, 1 << 19), _BASE, np.uint64)
             steps[0] = 1
             self.power = np.cumprod(steps)
             steps[1:] = _U(pow(int(_BASE), -1, 1 << 64))
@@ -399,7 +401,7 @@ def _index(docs: DataFrame, hot: np.ndarray, allocation: Allocation, shared: tup
         for h, s in _distinct_sets(batches, n):
             parts.append((subsets(s, hot, allocation), h))
             size += len(parts[-1][0])
-            if size >= CHUNK:
+            if size >= SENT_ENTRIES:
                 yield flush()
                 parts, size = [], 0
         if parts:
