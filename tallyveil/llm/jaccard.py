@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyveil.llm.shared import checkpointed, documents, forget_since, mark, private_name, stored
+from tallyveil.llm.shared import checkpointed, documents, forget_since, giving_back, mark, private_name, stored
 
 WORDS = 5
 BATCH_BYTES = 400_000
@@ -297,7 +297,7 @@ def summaries(docs: DataFrame, n: int = WORDS) -> DataFrame:
         if chunk:
             yield frequent()
 
-    return docs.select("row", "text").mapInArrow(run, "row binary, n_shingles long, set_hash long")
+    return docs.select("row", "text").mapInArrow(giving_back(run), "row binary, n_shingles long, set_hash long")
 
 
 def frequent_shingles(summary: DataFrame) -> np.ndarray:
@@ -339,7 +339,7 @@ def choose_allocation(sample: DataFrame, hot: np.ndarray, n: int = WORDS) -> All
                 cost[b, eighths] = cost.get((b, eighths), 0) + entries + FREQUENT_COST * frequent
         yield pa.RecordBatch.from_pydict({"band": pa.array([b for b, _ in cost], pa.int32()), "eighths": pa.array([e for _, e in cost], pa.int32()), "cost": pa.array(cost.values(), pa.int64())})
 
-    rows = sample.mapInArrow(run, "band int, eighths int, cost long").groupBy("band", "eighths").agg(F.sum("cost").alias("cost")).collect()
+    rows = sample.mapInArrow(giving_back(run), "band int, eighths int, cost long").groupBy("band", "eighths").agg(F.sum("cost").alias("cost")).collect()
     best: dict[int, tuple[int, int]] = {}
     for r in rows:
         best[r["band"]] = min(best.get(r["band"], (r["cost"], -r["eighths"])), (r["cost"], -r["eighths"]))
@@ -355,7 +355,7 @@ def shared_keys(sample: DataFrame, hot: np.ndarray, allocation: Allocation, n: i
             keys = np.unique(subsets(s, shared_hot.value, allocation) & ~_U(1)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), h, np.int64))], ["key", "owner"])
 
-    found = sample.mapInArrow(run, "key long, owner long").groupBy("key").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("centre"))
+    found = sample.mapInArrow(giving_back(run), "key long, owner long").groupBy("key").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("centre"))
     rows = found.where(F.col("n") >= SHARED).select("key", "centre").toArrow()
     keys, centres = (rows.column(c).to_numpy() for c in ("key", "centre"))
     order = np.argsort(keys.view(np.uint64))
@@ -407,7 +407,7 @@ def _index(docs: DataFrame, hot: np.ndarray, allocation: Allocation, shared: tup
         if parts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary, pairs binary")
+    return docs.select("text").mapInArrow(giving_back(run), "bucket int, entries binary, pairs binary")
 
 
 def _pairs(table: pa.Table) -> pa.Table:
@@ -505,7 +505,7 @@ class Verifier:
                     rows = [(h, *values(s)) for h, s in new.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64()) for _ in names], names)
 
-        out = text.mapInArrow(run, schema)
+        out = text.mapInArrow(giving_back(run), schema)
         return out if self.distinct else out.dropDuplicates(["set_hash"])
 
     @staticmethod
@@ -532,13 +532,13 @@ class Verifier:
         if not sized:
             pairs = self._both(pairs, self.sketches.select("set_hash", "size"), ["size"]).where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
             pairs = pairs.select("a", "b")
-        hope = checkpointed(self._both(pairs, self.sketches.select("set_hash", "size", "histogram"), ["size", "histogram"]).mapInArrow(hopeful, "a long, b long"))
+        hope = checkpointed(self._both(pairs, self.sketches.select("set_hash", "size", "histogram"), ["size", "histogram"]).mapInArrow(giving_back(hopeful), "a long, b long"))
         wanted = hope.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
         own = checkpointed(self.holders.join(wanted, "set_hash", "left_semi").join(self.elements, "set_hash", "left_anti"))
         if n_own := own.count():
             self.elements = self.elements.unionByName(stored(self._sets(own, n_own, "set_hash long, elements binary", lambda s: (s.tobytes(),)), "elements"))
         elements = self.elements
-        return self._both(hope, elements, ["elements"]).mapInArrow(exact, "a long, b long")
+        return self._both(hope, elements, ["elements"]).mapInArrow(giving_back(exact), "a long, b long")
 
 
 def _by_set(members: DataFrame, table: DataFrame, many: DataFrame, key: str, how: str = "inner") -> DataFrame:

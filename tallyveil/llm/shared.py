@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of the contracts' class [\x20\x09-\x0D]: a fixed value.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bounds of an Arrow batch while a table is written: a batch is held several times, by executor and Python worker, and
+#: rows may be whole texts or sets.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +39,34 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+@contextmanager
+def _configured(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after which the worker, which waits for further tasks, holds no freed Arrow memory."""
+
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return then_release
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    with _configured(spark, ARROW):
+        df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
